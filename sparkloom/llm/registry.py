@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import near_dedup
+from sparkloom.llm import near_dedup, quality
 
-QUERIES = {"op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup}
+QUERIES = {
+    "op3_quality_classifier": quality.op3_quality_classifier,
+    "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
+}
 ORACLES: dict[str, str] = {}
