@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import near_dedup, quality
+from sparkloom.llm import near_dedup, pii, quality
 
 QUERIES = {
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
+    "op9_pii": pii.op9_pii,
 }
 ORACLES: dict[str, str] = {}
