@@ -264,7 +264,8 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> D
     by_bucket = members.repartition("bucket").sortWithinPartitions("bucket", "id")
     edges = by_bucket.mapInArrow(_proposals(threshold), "a bigint, b bigint")
     coarse = materialize(components(edges), "coarse")
-    texts = read.join(coarse.select(F.col("node").alias("id"), "component"), "id").repartition("component").sortWithinPartitions("component", "id", "text")
+    # a shuffled join at every size: the members grow with the corpus, so they are not broadcast
+    texts = read.join(coarse.select(F.col("node").alias("id"), "component").hint("merge"), "id").repartition("component").sortWithinPartitions("component", "id", "text")
     exact = texts.mapInArrow(_verified(k, threshold), "id bigint, grp bigint").groupBy("id").agg(F.min("grp").alias("grp"))
     labelled = sketches.select("id", "rep").distinct().join(exact.withColumnRenamed("id", "rep"), "rep", "left")
     final = labelled.select(F.col("id").alias("doc_id"), F.coalesce("grp", "rep").alias("group_id"))
