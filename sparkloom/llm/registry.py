@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import near_dedup, pii, quality
+from sparkloom.llm import mixing, near_dedup, packing, pii, quality
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_packing": packing.op4_packing,
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_pii": pii.op9_pii,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
