@@ -79,15 +79,25 @@ class Model:
         return np.where(words > 0, above.sum(1), 0.0), np.where(words > 0, above[:, -1], 0.0)
 
 
+def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Text, bucket and summed value of each feature of each text, in order of both; made in slices to save memory."""
+    docs, buckets, values, n = [], [], [], 0
+    for b in textvec.slices(iter([pa.record_batch({"text": texts})]), "text", 1 << 20):
+        bucket, value, doc, rows, _ = features(b.column("text"))
+        key, where = np.unique(doc * (1 << BITS) + bucket, return_inverse=True)
+        docs.append((n + (key >> BITS)).astype(np.int32))
+        buckets.append((key & ((1 << BITS) - 1)).astype(np.int32))
+        values.append(np.bincount(where, value, len(key)).astype(np.float32))
+        n += rows
+    return (*map(np.concatenate, (docs, buckets, values)), n)
+
+
 def fit(texts: pa.Array, grades: np.ndarray, epochs: int = 30, l2: float = 1e-5, rate: float = 0.05, least: int = 3) -> Model:
     """Adam on the cumulative-link likelihood; features in fewer than `least` texts have weight 0."""
     seen = np.unique(grades)
     if len(seen) < 2:
         return Model(np.zeros(1 << BITS, np.float32), np.full(GRADES - 1, -50.0) if not len(seen) else np.where(np.arange(GRADES - 1) < seen[0], -50.0, 50.0))
-    bucket, value, doc, n, _ = features(texts)
-    key, where = np.unique(doc * (1 << BITS) + bucket, return_inverse=True)
-    value = np.bincount(where, value, len(key))
-    doc, bucket = key >> BITS, key & ((1 << BITS) - 1)
+    doc, bucket, value, n = counted(texts)
     often = np.bincount(bucket, minlength=1 << BITS) >= least
     keep = often[bucket]
     doc, bucket, value = doc[keep], bucket[keep], value[keep]
