@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import mixing, near_dedup, packing, pii, quality
+from sparkloom.llm import lang_id, mixing, near_dedup, packing, pii, quality
 
 QUERIES = {
+    "op1_language_id": lang_id.op1_language_id,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_packing": packing.op4_packing,
