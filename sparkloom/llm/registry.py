@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import lang_id, mixing, near_dedup, packing, pii, quality, repetition, warc_index
+from sparkloom.llm import lang_id, mixing, near_dedup, packing, pii, quality, repetition, token_output, warc_index
 
 QUERIES = {
     "op1_language_id": lang_id.op1_language_id,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_packing": packing.op4_packing,
+    "op5_token_output": token_output.op5_token_output,
     "op6_warc_index": warc_index.op6_warc_index,
     "op7_suffix_repetition": repetition.op7_suffix_repetition,
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
