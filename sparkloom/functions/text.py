@@ -186,7 +186,7 @@ def fenced(c: Column | str) -> Column:
 
 def unit_float(c: Column | str, default: float = 0.5) -> Column:
     """A number from text, held to 0..1; default if it is none."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), strip(_col(c).cast("string")).try_cast("double"))), F.lit(default))
+    return let(strip(_col(c).cast("string")).try_cast("double"), lambda x: F.when(x.isNull(), F.lit(default)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))))
 
 
 def count_int(c: Column | str) -> Column:

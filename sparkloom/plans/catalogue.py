@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sparkloom.plans import qa_queries, text_queries
+
+QUERIES: dict = {**text_queries.QUERIES, **qa_queries.QUERIES}
+ORACLES: dict[str, str] = {**text_queries.ORACLES, **qa_queries.ORACLES}
