@@ -22,21 +22,26 @@ def messages(question: Column | str, answer: Column | str) -> Column:
     return F.array(turn("user", question), turn("assistant", answer))
 
 
-def apply(df: DataFrame, layout: str = "default") -> DataFrame:
-    """Questions (text or question, answer, context, metadata and others) as records of a layout."""
-    extra = ["context", "metadata"]
-    kept = [c for c in extra if c in df.columns]
+def columns(df: DataFrame, layout: str = "default", leave_out: tuple[str, ...] = ()) -> list[Column]:
+    """A record's columns, in order; those left out don't get into it."""
+    names = [c for c in df.columns if c not in leave_out]
+    kept = [F.col(c) for c in ("context", "metadata") if c in names]
     if layout == "openai_chat":
-        return df.select(messages(_text(df), "answer").alias("messages"), *kept)
+        return [messages(_text(df), "answer").alias("messages"), *kept]
     if layout == "openai_legacy":
-        return df.select(_text(df).alias("prompt"), F.col("answer").alias("completion"), *kept)
+        return [_text(df).alias("prompt"), F.col("answer").alias("completion"), *kept]
     if layout == "standard":
-        return df.select(_text(df).alias("input"), F.col("answer").alias("output"), *[c for c in df.columns if c not in ("text", "question", "answer")])
+        return [_text(df).alias("input"), F.col("answer").alias("output"), *[F.col(c) for c in names if c not in ("text", "question", "answer")]]
     if layout == "default":
-        return df.withColumnRenamed("text", "question") if "text" in df.columns else df
+        return [F.col(c).alias("question") if c == "text" else F.col(c) for c in names if not (c == "question" and "text" in names)]
     raise OutputError(f"no layout is called {layout!r}; there are {LAYOUTS}")
 
 
+def apply(df: DataFrame, layout: str = "default") -> DataFrame:
+    """Questions (text or question, answer, context, metadata and others) as records of a layout."""
+    return df.select(*columns(df, layout))
+
+
 def flat(df: DataFrame, layout: str = "default", document: dict[str, str] | None = None) -> DataFrame:
     """Columns for CSV: six standard ones, the scalar fields of metadata's structs, metadata_json, and the document's."""
     if layout not in LAYOUTS:
