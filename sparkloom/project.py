@@ -98,8 +98,9 @@ class Project:
     def process(self, path: str, run: str | None = None) -> qa.Result:
         """All documents of a file, folder or pattern at once; rejects are in `rejects`."""
         docs, self.rejects = self.timers.time("loading", lambda: files.read(self.spark, self.where(path)))
-        if docs.isEmpty() and not self.rejects.isEmpty():
-            raise DocumentError(self.rejects.first()["error"], {"path": path})
+        if docs.isEmpty():
+            first = self.rejects.first()
+            raise DocumentError(first["error"] if first else "the document is empty", {"path": path})
         return self.process_documents(docs, run)
 
     def process_documents(self, docs: DataFrame, run: str | None = None) -> qa.Result:

@@ -73,7 +73,7 @@ def register_reader(kind: str, extensions: tuple[str, ...], reader: Reader) -> N
 
 
 def files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(path, content) of a file's, folder's or pattern's files."""
+    """(path, content) of a file's, folder's or pattern's files; files without a byte are left out by the scan."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "content")
 
 

@@ -30,7 +30,7 @@ def ascii_json(c):
     """JSON text with all but ASCII escaped, as \\uXXXX of its UTF-16 units."""
 
     def unit(ch):
-        units = F.regexp_replace(F.hex(F.encode(ch, "UTF-16BE")), "(....)", r"\\\\u$1")
+        units = F.regexp_replace(F.hex(F.encode(ch, "UTF-16BE")), "(....)", r"\\u$1")
         return F.when(F.octet_length(ch) == 1, ch).otherwise(F.lower(units))
 
     return F.array_join(F.transform(F.split(c, ""), unit), "")
