@@ -32,7 +32,7 @@ from sparkloom.session import materialize
 BUCKET_BITS, MANTISSA = 7, 10
 BUCKETS = 1 << BUCKET_BITS
 EMPTY = np.uint16(0xFFFF)
-SHINGLE, THRESHOLD, BAND = 3, 0.5, 4
+SHINGLE, THRESHOLD, BAND = 3, 0.5, 3
 
 _rng = np.random.default_rng(77)
 _PROBE = np.stack([_rng.permutation(BUCKETS) for _ in range(BUCKETS)])  # the order in which bucket j borrows
@@ -65,10 +65,10 @@ def densify(regs: np.ndarray) -> np.ndarray:
 
 def band_keys(dense: np.ndarray) -> np.ndarray:
     """(docs, bands) int64 keys of BAND registers each; the band's number is in the key."""
-    n = len(dense)
-    key = np.zeros((n, BUCKETS // BAND), np.uint64)
+    n, bands = len(dense), BUCKETS // BAND
+    key = np.zeros((n, bands), np.uint64)
     for j in range(BAND):
-        key = textvec.mix(key * np.uint64(31) + dense[:, j::BAND] + np.arange(1, key.shape[1] + 1, dtype=np.uint64) * np.uint64(0x10000))
+        key = textvec.mix(key * np.uint64(31) + dense[:, j : bands * BAND : BAND] + np.arange(1, key.shape[1] + 1, dtype=np.uint64) * np.uint64(0x10000))
     return key.view(np.int64)
 
 
@@ -247,8 +247,8 @@ def _verified(k: int, threshold: float):
 def groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """(doc_id, group_id) of every document that has a near duplicate; group_id is the group's smallest doc_id.
 
-    threshold: least Jaccard similarity of the sets of k-word shingles. 32 bands of 4 registers find a pair at
-    0.5 with chance 0.87, at 0.6 with 0.99, and at 0.7 with 0.9998.
+    threshold: least Jaccard similarity of the sets of k-word shingles. 42 bands of 3 registers find a pair at
+    0.5 with chance 0.996, and at 0.6 with 0.99996.
     """
     read = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id is not null and text is not null and text <> ''")
     made = read.mapInArrow(_sketches(k), "id bigint, fp1 bigint, fp2 bigint, n int, regs binary, bands array<bigint>")
