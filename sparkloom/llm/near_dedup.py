@@ -7,8 +7,8 @@ the collision-corrected Jaccard estimate of the registers thins them; exact Jacc
 decides. Groups are the connected components of the verified pairs.
 
 No bucket and no group is capped. Texts of equal words are one node from the start. Within a bucket and
-within a component, a union-find leaves out pairs that are already connected, so a group of n copies costs
-about n comparisons.
+within a component, a text is compared with the first members of the sets so far, then with the rest of those it
+didn't join, so a group of n copies costs about n comparisons.
 
 Nulls and odd input: a null or empty text, or one without any word, is in no group and always stays. Rows
 with a null doc_id stay as they are and join no group. Rows that share a doc_id are one document: its first
@@ -18,7 +18,7 @@ stays. Other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,27 +150,29 @@ def bounds(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
-class Sets:
-    """Union-find over 0..n-1; the smallest member is the root."""
+def clusters(n: int, links: Callable[[int, np.ndarray, bool], np.ndarray]) -> tuple[list[tuple[int, int]], dict[int, list[int]]]:
+    """Positions 0..n-1 joined where they are linked: the joins made (earlier, later), and the sets by first member.
 
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = int(self.up[x])
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-
-    def roots(self, n: int) -> np.ndarray:
-        r = self.up[:n]
-        while (r != self.up[r]).any():
-            r = self.up[r]
-        return r
+    links(i, others, one) gives those of the others, all before i, that i is linked with; one: any single one will do.
+    The sets' first members are tried before the rest of the sets that are still apart, and nothing within a
+    set: so n copies take about n trials, however many they are.
+    """
+    joins, sets = [], {}
+    for i in range(n):
+        near = {int(t): int(t) for t in links(i, np.fromiter(sets, np.int64, len(sets)), False)} if sets else {}
+        for first, own in sets.items():
+            if first not in near and len(own) > 1 and len(found := links(i, np.array(own[1:]), True)):
+                near[first] = int(found[0])
+        joins += [(j, i) for j in near.values()]
+        if near:
+            home = sets[min(near)]
+            for first in near:
+                if first != home[0]:
+                    home += sets.pop(first)
+            home.append(i)
+        else:
+            sets[i] = [i]
+    return joins, sets
 
 
 def _proposals(threshold: float):
@@ -189,16 +191,14 @@ def _proposals(threshold: float):
                 a.append(ids[twos[ok]])
                 b.append(ids[twos[ok] + 1])
             for s, z in zip(cut[:-1][size > 2], size[size > 2], strict=True):
-                sets, own, cnt = Sets(z), regs[s : s + z], n[s : s + z]
-                for i in range(1, z):
-                    near = np.flatnonzero(plausible(*estimate(own[i], cnt[i], own[:i], cnt[:i]), threshold))
-                    if len(near):
-                        roots = sets.roots(i)[near]
-                        for r in np.unique(roots):
-                            j = int(near[np.argmax(roots == r)])
-                            a.append(ids[s + j : s + j + 1])
-                            b.append(ids[s + i : s + i + 1])
-                            sets.join(j, i)
+                own, cnt = regs[s : s + z], n[s : s + z]
+
+                def links(i: int, others: np.ndarray, _: bool) -> np.ndarray:
+                    return others[plausible(*estimate(own[i], cnt[i], own[others], cnt[others]), threshold)]
+
+                joins = np.array(clusters(z, links)[0], np.int64).reshape(-1, 2)
+                a.append(ids[s + joins[:, 0]])
+                b.append(ids[s + joins[:, 1]])
             if a:
                 yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
 
@@ -228,17 +228,23 @@ def _verified(k: int, threshold: float):
             cut = bounds(t.column("component").to_numpy())
             group = np.empty(len(ids), np.int64)
             for s, e in zip(cut[:-1], cut[1:], strict=True):
-                own, n = Sets(e - s), np.array([len(x) for x in sets[s:e]])
-                for i in range(1, e - s):
+                n = np.array([len(x) for x in sets[s:e]])
+
+                def links(i: int, others: np.ndarray, one: bool) -> np.ndarray:
                     # a pair can't reach the threshold if one set is too small beside the other
-                    est, used = estimate(regs[s + i], n[i], regs[s : s + i], n[:i])
-                    near = np.flatnonzero(plausible(est, used, threshold) & (np.minimum(n[:i], n[i]) >= threshold * np.maximum(n[:i], n[i])))
-                    for j in near[np.argsort(-est[near], kind="stable")]:
-                        if own.root(int(j)) != own.root(i):
-                            both = len(np.intersect1d(sets[s + j], sets[s + i], assume_unique=True))
-                            if both >= threshold * (n[i] + n[j] - both):
-                                own.join(int(j), i)
-                group[s:e] = ids[s:e][own.roots(e - s)]
+                    est, used = estimate(regs[s + i], n[i], regs[s + others], n[others])
+                    ok = np.flatnonzero(plausible(est, used, threshold) & (np.minimum(n[others], n[i]) >= threshold * np.maximum(n[others], n[i])))
+                    out = []
+                    for j in others[ok[np.argsort(-est[ok], kind="stable")]]:
+                        both = len(np.intersect1d(sets[s + j], sets[s + i], assume_unique=True))
+                        if both >= threshold * (n[i] + n[j] - both):
+                            out.append(j)
+                            if one:
+                                break
+                    return np.array(out, np.int64)
+
+                for first, members in clusters(e - s, links)[1].items():
+                    group[s + np.array(members)] = ids[s + first]
             yield pa.record_batch({"id": ids, "grp": group})
 
     return run

@@ -85,3 +85,17 @@ def test_words_and_shingles_match_python():
         assert [bytes(data[s:e]).decode() for s, e in zip(w.start, w.end)][:3] == ["ab", "cd", "ef"]
     h, doc = textvec.shingles(w, 3)
     assert np.bincount(doc, minlength=6).tolist() == [1, 0, 0, 3, 2, 1] and len(set(h.tolist())) == 7
+
+
+def test_clusters_are_components_and_copies_are_cheap():
+    rng = random.Random(9)
+    for _ in range(30):
+        n = rng.randint(1, 25)
+        edges = {(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.08}
+        joins, sets = nd.clusters(n, lambda i, others, one: np.array([j for j in others if (j, i) in edges], np.int64))
+        want = closure(edges)
+        assert {x: f for f, own in sets.items() for x in own} == {x: want.get(x, x) for x in range(n)}
+        assert set(joins) <= edges and len(joins) == n - len(sets)
+    tried = []
+    nd.clusters(500, lambda i, others, one: (tried.append(len(others)), others)[1])
+    assert sum(tried) == 499
