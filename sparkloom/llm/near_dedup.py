@@ -30,6 +30,8 @@ from sparkloom.llm.graph import components
 from sparkloom.session import materialize
 
 BUCKET_BITS, MANTISSA = 7, 10
+#: Bits of the finer registers that thin pairs again before sets are compared.
+FINE_BITS = 10
 BUCKETS = 1 << BUCKET_BITS
 EMPTY = np.uint16(0xFFFF)
 SHINGLE, THRESHOLD, BAND = 3, 0.5, 3
@@ -38,15 +40,15 @@ _rng = np.random.default_rng(77)
 _PROBE = np.stack([_rng.permutation(BUCKETS) for _ in range(BUCKETS)])  # the order in which bucket j borrows
 
 
-def registers(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
-    """(docs, BUCKETS) registers: leading zeros in the top 6 bits, mantissa in the low 10; EMPTY without a shingle."""
-    least = np.full(docs * BUCKETS, np.uint64(2**64 - 1))
-    np.minimum.at(least, doc * BUCKETS + (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), h << np.uint64(BUCKET_BITS) | np.uint64(1))
+def registers(h: np.ndarray, doc: np.ndarray, docs: int, bits: int = BUCKET_BITS) -> np.ndarray:
+    """(docs, 2**bits) registers: leading zeros in the top 6 bits, mantissa in the low 10; EMPTY without a shingle."""
+    least = np.full(docs << bits, np.uint64(2**64 - 1))
+    np.minimum.at(least, (doc << bits) + (h >> np.uint64(64 - bits)).astype(np.int64), h << np.uint64(bits) | np.uint64(1))
     m, e = np.frexp((least >> np.uint64(11)).astype(np.float64))
     zeros = np.minimum(53 - e, 62)
     out = (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | ((m * 2 - 1).clip(0) * (1 << MANTISSA)).astype(np.uint16)
     out[least == np.uint64(2**64 - 1)] = EMPTY
-    return out.reshape(docs, BUCKETS)
+    return out.reshape(docs, 1 << bits)
 
 
 def densify(regs: np.ndarray) -> np.ndarray:
@@ -72,10 +74,10 @@ def band_keys(dense: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def collision_rate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def collision_rate(a: np.ndarray, b: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Chance that two unrelated registers agree, for sets of a and b shingles."""
     level = 2.0 ** -np.arange(0, 40)
-    p = lambda n: np.exp(-(n[:, None] / BUCKETS) * level[1:]) - np.exp(-(n[:, None] / BUCKETS) * level[:-1])
+    p = lambda n: np.exp(-(n[:, None] / buckets) * level[1:]) - np.exp(-(n[:, None] / buckets) * level[:-1])
     return (p(np.asarray(a, float)) * p(np.asarray(b, float))).sum(1) / (1 << MANTISSA)
 
 
@@ -83,7 +85,7 @@ def estimate(one: np.ndarray, na: float, many: np.ndarray, nb: np.ndarray) -> tu
     """Collision-corrected Jaccard of one register row (or as many) with many, and the buckets that tell."""
     used = ((one != EMPTY) | (many != EMPTY)).sum(1)
     same = ((one == many) & (many != EMPTY)).sum(1)
-    c = collision_rate(np.broadcast_to(na, np.shape(nb)), nb)
+    c = collision_rate(np.broadcast_to(na, np.shape(nb)), nb, many.shape[1])
     return np.clip((same / np.maximum(used, 1) - c) / (1 - c), 0, 1), used
 
 
@@ -150,29 +152,29 @@ def bounds(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
-def clusters(n: int, links: Callable[[int, np.ndarray, bool], np.ndarray]) -> tuple[list[tuple[int, int]], dict[int, list[int]]]:
-    """Positions 0..n-1 joined where they are linked: the joins made (earlier, later), and the sets by first member.
+def clusters(n: int, links: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Positions 0..n-1 joined where they are linked: the joins made (earlier, later), and each one's set by its first member.
 
-    links(i, others, one) gives those of the others, all before i, that i is linked with; one: any single one will do.
-    The sets' first members are tried before the rest of the sets that are still apart, and nothing within a
-    set: so n copies take about n trials, however many they are.
+    links(i, others, own) gives, for each set in own (the sets of the others, all before i), one that i is linked
+    with, if any. The sets' first members are tried before the rest of the sets that are still apart, and nothing
+    within a set: so n copies take about n trials, however many they are.
     """
-    joins, sets = [], {}
-    for i in range(n):
-        near = {int(t): int(t) for t in links(i, np.fromiter(sets, np.int64, len(sets)), False)} if sets else {}
-        for first, own in sets.items():
-            if first not in near and len(own) > 1 and len(found := links(i, np.array(own[1:]), True)):
-                near[first] = int(found[0])
-        joins += [(j, i) for j in near.values()]
-        if near:
-            home = sets[min(near)]
-            for first in near:
-                if first != home[0]:
-                    home += sets.pop(first)
-            home.append(i)
-        else:
-            sets[i] = [i]
-    return joins, sets
+    joins, first = [], np.arange(n)
+    for i in range(1, n):
+        own = first[:i]
+        head = own == np.arange(i)
+        tops = np.flatnonzero(head)
+        found = links(i, tops, tops)
+        rest = np.flatnonzero(~head & ~np.isin(own, found)) if len(found) else np.flatnonzero(~head)
+        if len(rest):
+            found = np.concatenate([found, links(i, rest, own[rest])]).astype(np.int64)
+        if len(found):
+            joins += [(int(j), i) for j in found]
+            near = own[found]
+            if len(near) > 1:
+                own[np.isin(own, near)] = near.min()
+            first[i] = near.min()
+    return joins, first
 
 
 def _proposals(threshold: float):
@@ -193,8 +195,9 @@ def _proposals(threshold: float):
             for s, z in zip(cut[:-1][size > 2], size[size > 2], strict=True):
                 own, cnt = regs[s : s + z], n[s : s + z]
 
-                def links(i: int, others: np.ndarray, _: bool) -> np.ndarray:
-                    return others[plausible(*estimate(own[i], cnt[i], own[others], cnt[others]), threshold)]
+                def links(i: int, others: np.ndarray, sets: np.ndarray) -> np.ndarray:
+                    ok = plausible(*estimate(own[i], cnt[i], own[others], cnt[others]), threshold)
+                    return others[ok][np.unique(sets[ok], return_index=True)[1]]
 
                 joins = np.array(clusters(z, links)[0], np.int64).reshape(-1, 2)
                 a.append(ids[s + joins[:, 0]])
@@ -208,43 +211,47 @@ def _proposals(threshold: float):
 def _verified(k: int, threshold: float):
     """Texts of candidate components, sorted by component and id, to (id, group) by exact Jaccard."""
 
-    def sketch(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    def sketch(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         import pyarrow.compute as pc
 
         sets: list[np.ndarray] = []
-        regs = []
+        regs, fine = [], []
         for b in textvec.slices(iter(t.select(["text"]).to_batches()), "text"):
             w = textvec.words(*textvec.raw(pc.utf8_lower(b.column("text").cast(pa.large_string()))))
             h, doc = textvec.shingles(w, k)
             regs.append(registers(h, doc, b.num_rows))
+            fine.append(registers(h, doc, b.num_rows, FINE_BITS))
             cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
             sets += [np.unique(h[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-        return sets, np.concatenate(regs)
+        return sets, np.concatenate(regs), np.concatenate(fine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "component"):
             ids = t.column("id").to_numpy()
-            sets, regs = sketch(t)
+            sets, regs, fine = sketch(t)
             cut = bounds(t.column("component").to_numpy())
             group = np.empty(len(ids), np.int64)
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 n = np.array([len(x) for x in sets[s:e]])
 
-                def links(i: int, others: np.ndarray, one: bool) -> np.ndarray:
+                def links(i: int, others: np.ndarray, own: np.ndarray) -> np.ndarray:
                     # a pair can't reach the threshold if one set is too small beside the other
-                    est, used = estimate(regs[s + i], n[i], regs[s + others], n[others])
-                    ok = np.flatnonzero(plausible(est, used, threshold) & (np.minimum(n[others], n[i]) >= threshold * np.maximum(n[others], n[i])))
-                    out = []
-                    for j in others[ok[np.argsort(-est[ok], kind="stable")]]:
-                        both = len(np.intersect1d(sets[s + j], sets[s + i], assume_unique=True))
-                        if both >= threshold * (n[i] + n[j] - both):
-                            out.append(j)
-                            if one:
-                                break
+                    ok = np.flatnonzero(np.minimum(n[others], n[i]) >= threshold * np.maximum(n[others], n[i]))
+                    for r in (regs, fine):
+                        est, used = estimate(r[s + i], n[i], r[s + others[ok]], n[others[ok]])
+                        near = plausible(est, used, threshold)
+                        ok, est = ok[near], est[near]
+                    out, done = [], set()
+                    for x in ok[np.argsort(-est, kind="stable")].tolist():
+                        j, group = int(others[x]), int(own[x])
+                        if group not in done:
+                            both = len(np.intersect1d(sets[s + j], sets[s + i], assume_unique=True))
+                            if both >= threshold * (n[i] + n[j] - both):
+                                out.append(j)
+                                done.add(group)
                     return np.array(out, np.int64)
 
-                for first, members in clusters(e - s, links)[1].items():
-                    group[s + np.array(members)] = ids[s + first]
+                group[s:e] = ids[s:e][clusters(e - s, links)[1]]
             yield pa.record_batch({"id": ids, "grp": group})
 
     return run
