@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: What str.strip and str.split take for white space.
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
 _LETTER = r"[\p{L}\p{N}_]"
-_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def _col(c: Column | str) -> Column:
@@ -22,14 +22,28 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def each(df: DataFrame, keys: list[str], items: Column | str, item: str = "x", pos: str = "pos") -> DataFrame:
+    """(keys, pos, item): an array's items by row. Null and empty arrays have none.
+
+    An outer generator with a filter after it: before an inner one the optimizer would put a filter that works out the
+    array again, twice, and at the scan.
+    """
+    return df.select(*keys, F.posexplode_outer(items).alias(pos, item)).where(F.col(pos).isNotNull())
+
+
 def strip(c: Column | str) -> Column:
     """Without leading and trailing Unicode white space."""
     return F.regexp_replace(_col(c), rf"^{WS}+|{WS}+\z", "")
 
 
+def strip_part(c: Column) -> Column:
+    """strip() for a lambda's variable: most lines have no white space at their ends, and only ends are looked at."""
+    return F.when(F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1))).rlike(WS), strip(c)).otherwise(c)
+
+
 def lines(c: Column | str) -> Column:
     """Lines by every Unicode line break; a final break makes no empty line."""
-    return F.split(F.regexp_replace(_col(c), rf"(?:{_BREAK})\z", ""), _BREAK)
+    return F.split(F.regexp_replace(F.replace(_col(c), F.lit("\r\n"), F.lit("\n")), rf"{_BREAK}\z", ""), _BREAK)
 
 
 def tokens(c: Column | str) -> Column:
@@ -41,7 +55,7 @@ def normalize_whitespace(c: Column | str) -> Column:
     """One space for runs of spaces and tabs, at most one blank line, lines stripped, one final newline; '' stays ''."""
     c = _col(c)
     tight = F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), "\n{3,}", "\n\n")
-    return F.when(c == "", "").otherwise(F.concat(strip(F.array_join(F.transform(lines(tight), strip), "\n")), F.lit("\n")))
+    return F.when(c == "", "").otherwise(F.concat(strip(F.array_join(F.transform(lines(tight), strip_part), "\n")), F.lit("\n")))
 
 
 #: Wrongly decoded punctuation and what it stands for, in the order of replacement.
@@ -79,7 +93,7 @@ def reflow(c: Column | str) -> Column:
         after = F.slice(rows, F.lit(2), F.size(rows))
         return F.array_join(F.transform(F.arrays_zip(rows.alias("line"), after.alias("next")), part), "")
 
-    return let(F.transform(F.split(_col(c), "\n"), strip), whole)
+    return let(F.transform(F.split(_col(c), "\n"), strip_part), whole)
 
 
 def preprocess(c: Column | str, whitespace: bool = True, encoding: bool = True, formatting: bool = True) -> Column:
@@ -125,7 +139,7 @@ DIVERSITY_WORDS = tuple("a about an and are as at but by for from he how i in is
 
 def keywords(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 10) -> DataFrame:
     """(key, word, cnt, rank): the k most frequent words that aren't stop words, ties by first occurrence."""
-    found = docs.select(key, F.posexplode(words(text)).alias("pos", "word")).where(~F.col("word").isin(*STOP_WORDS))
+    found = each(docs, [key], words(text), "word").where(~F.col("word").isin(*STOP_WORDS))
     counted = found.groupBy(key, "word").agg(F.count("*").alias("cnt"), F.min("pos").alias("first"))
     ranked = counted.selectExpr(f"`{key}`", "word", "cnt", f"row_number() over (partition by `{key}` order by cnt desc, first) as rank")
     return ranked.where(f"rank <= {int(k)}")

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text as T
+
 
 @dataclass(frozen=True)
 class Category:
@@ -16,8 +18,7 @@ class Category:
 
 @dataclass(frozen=True)
 class Budget:
-    """categories: minimum and weight of each; ignore_categories: count as if all were 0 and 1, as the reference's
-    configured values do in effect."""
+    """categories: minimum and weight of each; ignore_categories: count as if all were 0 and 1."""
 
     categories: dict[str, Category] = field(default_factory=lambda: {"factual": Category(2, 1.0), "inferential": Category(2, 1.2), "conceptual": Category(1, 1.5)})
     max_questions: int = 10
@@ -60,4 +61,4 @@ def allocate(chunks: DataFrame, budget: Budget = Budget(), key: str = "chunk_id"
             F.array_append(s["out"], F.struct(r["category"].alias("category"), (r["n"] - F.least(s["left"], r["n"] - r["least"])).alias("n"))).alias("out"),
         ),
     )
-    return df.select(key, F.inline(taken["out"]))
+    return T.each(df, [key], taken["out"], "x").select(key, "x.category", "x.n")

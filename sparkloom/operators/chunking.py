@@ -165,7 +165,7 @@ def chunk(docs: DataFrame, settings: Chunking = Chunking(), key: str = "doc_id",
     def folded(col: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else fold(x, settings) for x in col])
 
-    return docs.select(key, F.posexplode(folded(sections)).alias("sequence", "c")).select(key, "sequence", "c.content", "c.headings", "c.overlap_chars")
+    return T.each(docs, [key], folded(sections), "c", "sequence").select(key, "sequence", "c.content", "c.headings", "c.overlap_chars")
 
 
 def fixed_overlap(c: Column | str, n: int) -> Column:

@@ -95,8 +95,7 @@ def diversity(questions: DataFrame, group: str = "chunk_id", order: str = "gener
         return pd.Series(out)
 
     scored = rows.withColumn("__best", likeness(F.transform("rows", lambda r: r["__norm"])))
-    each = scored.select(F.explode(F.arrays_zip("rows", "__best")).alias("z"))
-    return each.select("z.rows.row.*", (1 - F.col("z.__best")).alias("diversity"), (F.col("z.__best") < threshold).alias("diversity_ok"))
+    return T.each(scored, [], F.arrays_zip("rows", "__best"), "z").select("z.rows.row.*", (1 - F.col("z.__best")).alias("diversity"), (F.col("z.__best") < threshold).alias("diversity_ok"))
 
 
 def distinct_questions(questions: DataFrame, group: str = "chunk_id", order: str = "generation_index", text: str = "question") -> DataFrame:

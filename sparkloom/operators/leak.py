@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text as T
+
 
 def _any(words: str) -> str:
     return "(?:" + "|".join(words.split()) + ")"
@@ -39,8 +41,11 @@ FLAG = (
 
 
 def _hits(c: Column, patterns: Sequence[str], label: str) -> Column:
-    found = [F.when(c.rlike(f"(?i){p}"), F.concat(F.lit(f"{label}: '"), F.regexp_extract(c, f"(?i){p}", 0), F.lit("'"))) for p in patterns]
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    """The first hit of each pattern; no pattern matches nothing, so '' means none."""
+    if not patterns:
+        return F.array().cast("array<string>")
+    found = F.filter(F.array(*[F.regexp_extract(c, f"(?i){p}", 0) for p in patterns]), lambda x: x != "")
+    return F.transform(found, lambda x: F.concat(F.lit(f"{label}: '"), x, F.lit("'")))
 
 
 def _hit(c: Column, patterns: Sequence[str]) -> Column:
@@ -62,9 +67,21 @@ def matches(question: Column | str, answer: Column | str, drop: Sequence[str] =
     return F.when(_hit(q, drop) | _hit(a, drop), F.concat(_hits(q, drop, "question"), _hits(a, drop, "answer"))).otherwise(_hits(q, flag, "question"))
 
 
-def leak(question: Column | str, answer: Column | str, **options) -> Column:
-    """Struct of action, matches and reason."""
-    action = verdict(question, answer, **options)
-    found = F.when(action == "pass", F.array().cast("array<string>")).otherwise(matches(question, answer, options.get("drop", DROP), options.get("flag", FLAG)))
-    reason = F.when(action == "drop", F.concat(F.lit("refers to its source: "), F.array_join(found, ", "))).when(action == "flag", F.concat(F.lit("may refer to its source: "), F.array_join(found, ", ")))
-    return F.struct(action.alias("action"), found.alias("matches"), reason.alias("reason"))
+def leak(question: Column | str, answer: Column | str, enabled: bool = True, scan_answer: bool = True, drop: Sequence[str] = DROP, flag: Sequence[str] = FLAG) -> Column:
+    """Struct of action, matches and reason; each pattern runs over each text once."""
+    q, a = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (question, answer))
+    none = F.array().cast("array<string>")
+    if not enabled:
+        return F.struct(F.lit("pass").alias("action"), none.alias("matches"), F.lit(None).cast("string").alias("reason"))
+
+    def told(d: Column) -> Column:
+        def with_flags(f: Column) -> Column:
+            return F.struct(
+                F.when(F.size(d) > 0, "drop").when(F.size(f) > 0, "flag").otherwise("pass").alias("action"),
+                F.when(F.size(d) > 0, d).otherwise(f).alias("matches"),
+                F.when(F.size(d) > 0, F.concat(F.lit("refers to its source: "), F.array_join(d, ", "))).when(F.size(f) > 0, F.concat(F.lit("may refer to its source: "), F.array_join(f, ", "))).alias("reason"),
+            )
+
+        return T.let(F.when(F.size(d) > 0, none).otherwise(_hits(q, flag, "question")), with_flags)
+
+    return T.let(F.concat(_hits(q, drop, "question"), _hits(a, drop, "answer") if scan_answer else none), told)

@@ -67,7 +67,7 @@ def extract(c: Column | str, markdown_only: bool = False) -> Column:
 
         return F.transform(F.arrays_zip(marks.alias("m"), ends.alias("e")), build)
 
-    found = T.let(F.transform(F.transform(T.lines(c), T.strip), line), lambda rows: T.let(starts(rows), lambda marks: F.when(F.size(marks) == 0, empty).otherwise(cut(rows, marks))))
+    found = T.let(F.transform(F.transform(T.lines(c), T.strip_part), line), lambda rows: T.let(starts(rows), lambda marks: F.when(F.size(marks) == 0, empty).otherwise(cut(rows, marks))))
     return F.when(F.coalesce(T.strip(c), F.lit("")) == "", empty).otherwise(found)
 
 
@@ -91,4 +91,4 @@ def heading_path(sections: Column) -> Column:
 
 def explode(docs: DataFrame, key: str = "doc_id", sections: str = "sections") -> DataFrame:
     """(key, pos, content, section_type, level)."""
-    return docs.select(key, F.posexplode(sections).alias("pos", "s")).select(key, "pos", "s.*")
+    return T.each(docs, [key], sections, "s").select(key, "pos", "s.*")

@@ -100,7 +100,7 @@ def run(docs: DataFrame, factory: completion.Factory, settings: Settings = Setti
     asks = wanted.select(key, "chunk_id", F.col("content").alias("context"), _prompt(prompts, "generation", chunk="content", concepts=F.coalesce(F.nullif("concepts", F.lit("")), F.lit("N/A")), **{c: F.col(c) if c in others else F.lit(0) for c in ("factual", "inferential", "conceptual")}).alias("prompt"))
     made = store.made("questions", lambda: _ask(asks, "generation", prompts, factory, s).drop("prompt"))
     listed = made.withColumn("items", parse.questions("reply"))
-    questions = listed.select(key, "chunk_id", "context", F.posexplode("items").alias("generation_index", "q")).select(key, "chunk_id", "context", "generation_index", "q.*")
+    questions = T.each(listed, [key, "chunk_id", "context"], "items", "q", "generation_index").select(key, "chunk_id", "context", "generation_index", "q.*")
     questions = questions.withColumn("question_id", F.sha2(F.concat_ws("|", "chunk_id", F.col("generation_index").cast("string")), 256))
     if s.diversity is None:
         questions = questions.withColumns({"diversity": F.lit(1.0), "diversity_ok": F.lit(True)})

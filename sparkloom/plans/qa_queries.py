@@ -159,7 +159,7 @@ def question_parse(spark, sf_dir):
     rows = F.concat(F.lit("["), item, F.lit(', {"question": " And the other? ", "answer": "No.", "category": "factual"}, {"question": "  ", "answer": "x"}, {"question": "q", "answer": null}]'))
     k = F.col("doc_id") % 4
     reply = F.when(k == 0, rows).when(k == 1, F.concat(F.lit('{"questions": '), rows, F.lit("}"))).when(k == 2, F.concat(F.lit("Sure:\n```\nnot json\n```\n```json\n"), rows, F.lit("\n```"))).otherwise(F.lit("I can't."))
-    return q.select("doc_id", F.posexplode(parse.questions(reply)).alias("pos", "i")).select("doc_id", "pos", "i.question", "i.answer", "i.category")
+    return T.each(q, ["doc_id"], parse.questions(reply), "i").select("doc_id", "pos", "i.question", "i.answer", "i.category")
 
 
 @query("""

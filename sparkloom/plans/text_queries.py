@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators import chunking, sections
+from sparkloom.session import spread
 from sparkloom.sources import pages as P
 
 QUERIES: dict = {}
@@ -14,7 +15,8 @@ ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df  # whole texts: the work is in the rows
 
 
 def query(sql: str | None = None):
@@ -110,14 +112,14 @@ s as (select doc_id, pos, part, coalesce(sum(length(part) + 2) over (partition b
 select doc_id, start_at, (start_at + length(part))::int as end_at from s where regexp_matches(part, '\S')
 """)
 def section_boundaries(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.boundaries(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("b"))
+    docs = T.each(table(spark, sf_dir, "documents"), ["doc_id"], T.boundaries(F.replace("text", F.lit("\n"), F.lit("\n\n"))), "b")
     return docs.select("doc_id", F.col("b.start").alias("start_at"), F.col("b.end").alias("end_at"))
 
 
 @query(None)
 def sentence_split(spark, sf_dir):
     """Sentences of every document (look-behind rules, beyond the second engine's regular expressions)."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
+    return T.each(table(spark, sf_dir, "documents"), ["doc_id"], T.sentences("text"), "sentence").select("doc_id", "pos", "sentence")
 
 
 @query(r"""
@@ -201,7 +203,7 @@ f as (select *, lag(merges, 1, false) over w as eaten, lead(content) over w as n
 select doc_id, (row_number() over (partition by doc_id order by seq) - 1)::int as sequence, case when merges then content || chr(10) || chr(10) || nxt else content end as content from f where not eaten
 """)
 def chunk_merge_small(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("sequence", "content"))
+    lines = T.each(table(spark, sf_dir, "documents"), ["doc_id"], F.split("text", "\n"), "content", "sequence")
     return chunking.merge_small(lines, 500, 2500).select("doc_id", "sequence", "content")
 
 

@@ -23,6 +23,15 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) ->
     return builder.config(map=base | conf).getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew if its scan has fewer partitions than there are cores: else a table of one row group would be one task.
+
+    Tables of any size worth the name have more, and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def work_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

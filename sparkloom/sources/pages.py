@@ -98,7 +98,7 @@ def repeated_lines(blocks: DataFrame, threshold: float = 0.75, pages: int = 3, l
             out.append([{"text": k, "pages": n} for k, n in seen.items() if n >= pages])
         return pd.Series(out)
 
-    return listed.where(F.size("found") >= pages).select("doc_id", "place", F.inline(groups("found")))
+    return T.each(listed.where(F.size("found") >= pages), ["doc_id", "place"], groups("found")).select("doc_id", "place", "x.text", "x.pages")
 
 
 def drop_repeated(blocks: DataFrame, repeated: DataFrame, threshold: float = 0.75) -> DataFrame:

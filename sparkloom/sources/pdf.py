@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text as T
 from sparkloom.operators.sections import SECTIONS
 from sparkloom.sources import pages as P
 
@@ -64,7 +65,7 @@ def columns(d: str) -> dict[str, Column]:
 
 def blocks(files: DataFrame) -> DataFrame:
     """(path, content) to the block table that the page operators take, with the path as doc_id."""
-    return files.withColumn("d", parse("content")).select(F.col("path").alias("doc_id"), F.inline("d.blocks"))
+    return T.each(files.select(F.col("path").alias("doc_id"), parse("content").alias("d")), ["doc_id"], "d.blocks").select("doc_id", "x.*")
 
 
 def sections_of(ordered: DataFrame, key: str = "doc_id") -> DataFrame:
