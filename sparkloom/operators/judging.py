@@ -69,28 +69,29 @@ def diversity(questions: DataFrame, group: str = "chunk_id", order: str = "gener
     """Adds diversity (1 less the greatest likeness to an accepted question before it) and diversity_ok (likeness under the threshold).
 
     Within a group, in order; accepted are those that passed here, whatever other checks say. Groups are
-    chunks, of at most a few dozen questions: their rows are gathered into arrays, with one shuffle that
-    combines first, and each batch of groups crosses to Python once.
+    chunks, of at most a few dozen questions: their rows are gathered into arrays, with one shuffle, and each batch of
+    groups crosses to Python once.
     """
     packed = questions.withColumn("__norm", T.diversity_form(F.coalesce(F.col(text), F.lit(""))))
-    rows = packed.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__order"), F.col("__norm"), F.struct(*questions.columns).alias("row")))).alias("rows"))
+    # a number of partitions of its own: small in bytes, costly in comparisons, so adaptive merging would be wrong
+    parts = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = packed.repartition(parts, group).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__order"), F.col("__norm"), F.struct(*questions.columns).alias("row")))).alias("rows"))
 
     @F.pandas_udf("array<double>")
     def likeness(lists: pd.Series) -> pd.Series:
         out = []
         for row in lists:
-            kept: list[str] = []
+            kept: list[SequenceMatcher] = []  # one for each accepted text, whose index is made once
             scores = []
             for x in row:
-                m = SequenceMatcher(None, x, "")
                 best = 0.0
-                for k in kept:
-                    m.set_seq2(k)
+                for m in kept:
+                    m.set_seq1(x)
                     if m.real_quick_ratio() > best and m.quick_ratio() > best:
                         best = max(best, m.ratio())
                 scores.append(best)
                 if best < threshold:
-                    kept.append(x)
+                    kept.append(SequenceMatcher(None, "", x))
             out.append(scores)
         return pd.Series(out)
 
