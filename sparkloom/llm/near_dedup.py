@@ -74,18 +74,24 @@ def band_keys(dense: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def collision_rate(a: np.ndarray, b: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """Chance that two unrelated registers agree, for sets of a and b shingles."""
+def levels(n: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """For sets of n shingles, the chances that a register has 0, 1, ... leading zeros."""
     level = 2.0 ** -np.arange(0, 40)
-    p = lambda n: np.exp(-(n[:, None] / buckets) * level[1:]) - np.exp(-(n[:, None] / buckets) * level[:-1])
-    return (p(np.asarray(a, float)) * p(np.asarray(b, float))).sum(1) / (1 << MANTISSA)
+    at = np.exp(-(np.asarray(n, float)[:, None] / buckets) * level)
+    return at[:, 1:] - at[:, :-1]
 
 
-def estimate(one: np.ndarray, na: float, many: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Collision-corrected Jaccard of one register row (or as many) with many, and the buckets that tell."""
-    used = ((one != EMPTY) | (many != EMPTY)).sum(1)
-    same = ((one == many) & (many != EMPTY)).sum(1)
-    c = collision_rate(np.broadcast_to(na, np.shape(nb)), nb, many.shape[1])
+def collision_rate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Chance that two unrelated registers agree, of sets with these levels(): one with many, or as many."""
+    return (b @ a if a.ndim == 1 else (a * b).sum(1)) / (1 << MANTISSA)
+
+
+def estimate(one: np.ndarray, la: np.ndarray, many: np.ndarray, lb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Collision-corrected Jaccard of one register row (or as many) with many, and the buckets that tell; la and lb are their levels()."""
+    there = many != EMPTY
+    used = ((one != EMPTY) | there).sum(1)
+    same = ((one == many) & there).sum(1)
+    c = collision_rate(la, lb)
     return np.clip((same / np.maximum(used, 1) - c) / (1 - c), 0, 1), used
 
 
@@ -184,19 +190,20 @@ def _proposals(threshold: float):
         for t in runs(batches, "bucket"):
             ids, n = t.column("id").to_numpy(), t.column("n").to_numpy()
             regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            rate = levels(n)
             cut = bounds(t.column("bucket").to_numpy())
             size = np.diff(cut)
             twos = cut[:-1][size == 2]
             a, b = [], []
             if len(twos):
-                ok = plausible(*estimate(regs[twos], n[twos], regs[twos + 1], n[twos + 1]), threshold)
+                ok = plausible(*estimate(regs[twos], rate[twos], regs[twos + 1], rate[twos + 1]), threshold)
                 a.append(ids[twos[ok]])
                 b.append(ids[twos[ok] + 1])
             for s, z in zip(cut[:-1][size > 2], size[size > 2], strict=True):
-                own, cnt = regs[s : s + z], n[s : s + z]
+                own, p = regs[s : s + z], rate[s : s + z]
 
                 def links(i: int, others: np.ndarray, sets: np.ndarray) -> np.ndarray:
-                    ok = plausible(*estimate(own[i], cnt[i], own[others], cnt[others]), threshold)
+                    ok = plausible(*estimate(own[i], p[i], own[others], p[others]), threshold)
                     return others[ok][np.unique(sets[ok], return_index=True)[1]]
 
                 joins = np.array(clusters(z, links)[0], np.int64).reshape(-1, 2)
@@ -233,12 +240,13 @@ def _verified(k: int, threshold: float):
             group = np.empty(len(ids), np.int64)
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 n = np.array([len(x) for x in sets[s:e]])
+                sketches = ((regs[s:e], levels(n)), (fine[s:e], levels(n, 1 << FINE_BITS)))
 
                 def links(i: int, others: np.ndarray, own: np.ndarray) -> np.ndarray:
                     # a pair can't reach the threshold if one set is too small beside the other
                     ok = np.flatnonzero(np.minimum(n[others], n[i]) >= threshold * np.maximum(n[others], n[i]))
-                    for r in (regs, fine):
-                        est, used = estimate(r[s + i], n[i], r[s + others[ok]], n[others[ok]])
+                    for r, p in sketches:
+                        est, used = estimate(r[i], p[i], r[others[ok]], p[others[ok]])
                         near = plausible(est, used, threshold)
                         ok, est = ok[near], est[near]
                     out, done = [], set()

@@ -67,11 +67,11 @@ def test_estimate_is_corrected():
         h = np.concatenate([shared, rng.integers(0, 2**64, extra, dtype=np.uint64)])
         regs.append(nd.registers(h, np.zeros(len(h), np.int64), 1))
         n.append(len(h))
-    est, used = nd.estimate(regs[0][0], n[0], regs[1], np.array([n[1]]))
+    est, used = nd.estimate(regs[0][0], nd.levels(np.array([n[0]]))[0], regs[1], nd.levels(np.array([n[1]])))
     assert used[0] == nd.BUCKETS and abs(est[0] - 0.6) < 0.15
     a, b = (nd.registers(rng.integers(0, 2**64, 256 * 50, dtype=np.uint64), np.repeat(np.arange(256), 50), 256) for _ in range(2))
     rate = ((a == b) & (a != nd.EMPTY)).sum() / ((a != nd.EMPTY) & (b != nd.EMPTY)).sum()
-    assert abs(rate - nd.collision_rate(np.array([50]), np.array([50]))[0]) < 1.5e-3
+    assert abs(rate - nd.collision_rate(*[nd.levels(np.array([50]))] * 2)[0]) < 1.5e-3
 
 
 def test_words_and_shingles_match_python():
