@@ -195,10 +195,11 @@ class Http(Completer):
 Factory = Callable[[], Completer]
 
 
-def complete(requests: DataFrame, factory: Factory, prompt: str = "prompt", system: str | None = None, concurrency: int = 3, json_mode: bool = True) -> DataFrame:
+def complete(requests: DataFrame, factory: Factory, prompt: str = "prompt", system: str | None = None, concurrency: int = 3, json_mode: bool = True, tasks: int | None = None) -> DataFrame:
     """Adds reply and error to each request; a failed call leaves reply null and the run goes on.
 
-    One completer for a task of Spark, which makes `concurrency` calls at once. The caller must write the result
+    The requests are dealt out to `tasks` tasks (as many as there are cores, by default), since a few bytes may be much
+    work. One completer for a task of Spark, which makes `concurrency` calls at once. The caller must write the result
     before using it twice, since calls would be made again.
     """
     schema = StructType([*requests.schema.fields, *StructType().add("reply", StringType()).add("error", StringType()).fields])
@@ -223,7 +224,7 @@ def complete(requests: DataFrame, factory: Factory, prompt: str = "prompt", syst
         finally:
             completer.close()
 
-    return requests.mapInPandas(run, schema)
+    return requests.repartition(tasks or requests.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, schema)
 
 
 def request_hash(prompt: str = "prompt", task: str = ""):

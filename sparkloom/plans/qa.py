@@ -69,19 +69,25 @@ def _ask(df: DataFrame, name: str, prompts, factory, s: Settings) -> DataFrame:
     return completion.complete(df, factory, system=p.system, concurrency=s.concurrency, json_mode=p.json_output)
 
 
-def judge(questions: DataFrame, store: StageStore, tag: str, prompts, factory, s: Settings) -> DataFrame:
-    """questions with leak_action, scores, <dimension>_ok, is_valid and reasons; dropped questions are not sent to a judge."""
-    action = leak.leak("question", "answer", enabled=s.leak_filter, scan_answer=s.scan_answer)
-    checked = questions.withColumn("__leak", action).withColumns({"leak_action": F.col("__leak.action"), "leak_reason": F.col("__leak.reason")}).drop("__leak")
-    asked = checked.where("leak_action <> 'drop'")
-    faith = asked.select("question_id", _prompt(prompts, "faithfulness", question="question", answer="answer", chunk="context").alias("prompt"))
+def with_leaks(questions: DataFrame, s: Settings) -> DataFrame:
+    """questions with leak_action and leak_reason."""
+    found = questions.withColumn("__leak", leak.leak("question", "answer", enabled=s.leak_filter, scan_answer=s.scan_answer))
+    return found.select(*questions.columns, F.col("__leak.action").alias("leak_action"), F.col("__leak.reason").alias("leak_reason"))
+
+
+def judge(checked: DataFrame, sources: DataFrame, store: StageStore, tag: str, prompts, factory, s: Settings) -> DataFrame:
+    """Questions with leaks to the same with scores, <dimension>_ok, is_valid and reasons; dropped ones are not sent to a judge.
+
+    sources: (chunk_id, context). A chunk's text meets its questions only where a prompt needs it.
+    """
+    asked = checked.where("leak_action <> 'drop'").select("question_id", "chunk_id", "question", "answer")
+    faith = asked.join(sources, "chunk_id").select("question_id", _prompt(prompts, "faithfulness", question="question", answer="answer", chunk="context").alias("prompt"))
     alone = asked.select("question_id", _prompt(prompts, "standalone", question="question", answer="answer").alias("prompt"))
     a = store.made(f"{tag}-faithfulness", lambda: _ask(faith, "faithfulness", prompts, factory, s).drop("prompt"))
     b = store.made(f"{tag}-standalone", lambda: _ask(alone, "standalone", prompts, factory, s).drop("prompt"))
     ja = a.select("question_id", parse.judge("reply", judging.FAITHFULNESS).alias("j")).where("j is not null").select("question_id", "j.*")
     jb = b.select("question_id", parse.judge("reply", judging.STANDALONE).alias("j")).where("j is not null").select("question_id", "j.*")
-    scores = judging.merge_judges(ja, jb)
-    return judging.verdicts(checked.join(scores, "question_id", "left"), dict(s.thresholds))
+    return judging.verdicts(checked.join(judging.merge_judges(ja, jb), "question_id", "left"), dict(s.thresholds))
 
 
 def run(docs: DataFrame, factory: completion.Factory, settings: Settings = Settings(), store: StageStore | None = None, prompts: dict[str, P.Prompt] | None = None, key: str = "doc_id") -> Result:
@@ -97,17 +103,18 @@ def run(docs: DataFrame, factory: completion.Factory, settings: Settings = Setti
     counts = budget.allocate(good.withColumnRenamed("information_density", "density"), s.budget, "chunk_id").groupBy("chunk_id").agg(*[F.coalesce(F.max(F.when(F.col("category") == c, F.col("n"))), F.lit(0)).alias(c) for c in s.budget.categories])
     wanted = counts.where(" + ".join(f"`{c}`" for c in s.budget.categories) + " > 0").join(good.select("chunk_id", F.array_join("key_concepts", ", ").alias("concepts")), "chunk_id").join(chunks.select("chunk_id", key, "content"), "chunk_id")
     others = {c: c for c in ("factual", "inferential", "conceptual") if c in s.budget.categories}
-    asks = wanted.select(key, "chunk_id", F.col("content").alias("context"), _prompt(prompts, "generation", chunk="content", concepts=F.coalesce(F.nullif("concepts", F.lit("")), F.lit("N/A")), **{c: F.col(c) if c in others else F.lit(0) for c in ("factual", "inferential", "conceptual")}).alias("prompt"))
+    asks = wanted.select(key, "chunk_id", _prompt(prompts, "generation", chunk="content", concepts=F.coalesce(F.nullif("concepts", F.lit("")), F.lit("N/A")), **{c: F.col(c) if c in others else F.lit(0) for c in ("factual", "inferential", "conceptual")}).alias("prompt"))
     made = store.made("questions", lambda: _ask(asks, "generation", prompts, factory, s).drop("prompt"))
     listed = made.withColumn("items", parse.questions("reply"))
-    questions = T.each(listed, [key, "chunk_id", "context"], "items", "q", "generation_index").select(key, "chunk_id", "context", "generation_index", "q.*")
+    questions = T.each(listed, [key, "chunk_id"], "items", "q", "generation_index").select(key, "chunk_id", "generation_index", "q.*")
     questions = questions.withColumn("question_id", F.sha2(F.concat_ws("|", "chunk_id", F.col("generation_index").cast("string")), 256))
     if s.diversity is None:
         questions = questions.withColumns({"diversity": F.lit(1.0), "diversity_ok": F.lit(True)})
     else:
         questions = judging.diversity(questions, threshold=s.diversity)
-    questions = store.made("diversity", lambda: questions)
-    judged = store.made("verdicts", lambda: judge(questions, store, "first", prompts, factory, s))
+    sources = chunks.select("chunk_id", F.col("content").alias("context"))
+    checked = store.made("checked", lambda: with_leaks(questions, s))
+    judged = store.made("verdicts", lambda: judge(checked, sources, store, "first", prompts, factory, s))
     judged = judged.withColumn("reasons", F.array_compact(F.concat("reasons", F.array(F.when(~F.col("diversity_ok"), "(diversity) too much like an earlier question"))))).withColumn("is_valid", F.col("is_valid") & F.col("diversity_ok"))
 
     open_ = judged.where(repair.is_candidate())
@@ -116,11 +123,12 @@ def run(docs: DataFrame, factory: completion.Factory, settings: Settings = Setti
     tried = []
     for i in range(s.repair_attempts):
         told = repair.issue(F.when(~F.col("standalone_ok"), judging.reason("standalone", "standalone")), F.col("leak_reason"))
-        work = open_.select("question_id", "question", "answer", "context", _prompt(prompts, "rewrite", issue=told, question="question", answer="answer", chunk="context").alias("prompt"))
-        new = store.made(f"rewrites-{i}", lambda w=work: _ask(w, "rewrite", prompts, factory, s).select("question_id", "question", "answer", "context", parse.rewrite("reply").alias("new")))
+        work = open_.join(sources, "chunk_id").select("question_id", "chunk_id", "question", "answer", _prompt(prompts, "rewrite", issue=told, question="question", answer="answer", chunk="context").alias("prompt"))
+        new = store.made(f"rewrites-{i}", lambda w=work: _ask(w, "rewrite", prompts, factory, s).select("question_id", "chunk_id", "question", "answer", parse.rewrite("reply").alias("new")))
         changed = (F.col("new.question") != F.col("question")) | (F.col("new.answer") != F.col("answer"))
-        again = judge(new.where(F.col("new").isNotNull() & changed).select("question_id", "new.question", "new.answer", "context"), store, f"again-{i}", prompts, factory, s)
-        done = store.made(f"repaired-{i}", lambda a=again: a.select("question_id", "question", "answer", "context", "leak_action", "leak_reason", "standalone", "standalone_ok", "is_valid"))
+        checked = with_leaks(new.where(F.col("new").isNotNull() & changed).select("question_id", "chunk_id", "new.question", "new.answer"), s)
+        again = judge(checked, sources, store, f"again-{i}", prompts, factory, s)
+        done = store.made(f"repaired-{i}", lambda a=again: a.select("question_id", "question", "answer", "leak_action", "leak_reason", "standalone", "standalone_ok", "is_valid"))
         tried.append((new.select("question_id"), done))
         open_ = open_.drop("leak_action", "leak_reason", "standalone", "standalone_ok").join(done.where("not is_valid").select("question_id", "leak_action", "leak_reason", "standalone", "standalone_ok"), "question_id")
     if tried:
@@ -142,4 +150,4 @@ def run(docs: DataFrame, factory: completion.Factory, settings: Settings = Setti
     bad = analyses.where("status <> 'ok'").select("chunk_id", F.lit("analysis").alias("stage"), F.coalesce("error", "notes").alias("error"))
     bad = bad.unionByName(asked.where("generation_error is not null").select("chunk_id", F.lit("generation").alias("stage"), F.col("generation_error").alias("error")))
     failures = bad.join(chunks.select("chunk_id", key, "sequence", T.preview("content").alias("preview")), "chunk_id")
-    return Result(chunks, outcomes.where("outcome <> 'dropped'"), outcomes, chunk_stats, document_stats, failures)
+    return Result(chunks, outcomes.where("outcome <> 'dropped'").join(sources, "chunk_id"), outcomes, chunk_stats, document_stats, failures)

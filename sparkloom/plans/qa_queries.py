@@ -357,3 +357,22 @@ select event_id, count(*) over w as requests, round(sum(value) over w, 6) as tok
 """)
 def rate_window_60s(spark, sf_dir):
     return routing.rate_window(table(spark, sf_dir, "events"), "event_type", "ts", F.col("value"), 20).select("event_id", "requests", F.round("tokens", 6).alias("tokens"), "waits")
+
+
+@query(None)
+def qa_outcomes(spark, sf_dir):
+    """Every question that the offline completer asks of every document, with verdict and outcome; tests hold its invariants."""
+    from sparkloom.operators.completion import Offline
+    from sparkloom.plans import qa
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return qa.run(docs, Offline).outcomes.select("doc_id", "chunk_id", "generation_index", "category", "question", "answer", "leak_action", "diversity_ok", "is_valid", "outcome")
+
+
+@query(None)
+def qa_document_stats(spark, sf_dir):
+    """The funnel of each document, by the offline completer."""
+    from sparkloom.operators.completion import Offline
+    from sparkloom.plans import qa
+
+    return qa.run(table(spark, sf_dir, "documents").select("doc_id", "text"), Offline).document_stats
