@@ -42,6 +42,10 @@ _PROBE = np.stack([_rng.permutation(BUCKETS) for _ in range(BUCKETS)])  # the or
 
 def registers(h: np.ndarray, doc: np.ndarray, docs: int, bits: int = BUCKET_BITS) -> np.ndarray:
     """(docs, 2**bits) registers: leading zeros in the top 6 bits, mantissa in the low 10; EMPTY without a shingle."""
+    step = (1 << 20) >> bits
+    if docs > step:  # so many texts at a time, to bound memory; doc ascends
+        cut = np.searchsorted(doc, np.arange(0, docs + step, step))
+        return np.concatenate([registers(h[a:b], doc[a:b] - i * step, min(step, docs - i * step), bits) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))])
     least = np.full(docs << bits, np.uint64(2**64 - 1))
     np.minimum.at(least, (doc << bits) + (h >> np.uint64(64 - bits)).astype(np.int64), h << np.uint64(bits) | np.uint64(1))
     m, e = np.frexp((least >> np.uint64(11)).astype(np.float64))
