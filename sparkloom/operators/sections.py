@@ -67,14 +67,19 @@ def extract(c: Column | str, markdown_only: bool = False) -> Column:
 
         return F.transform(F.arrays_zip(marks.alias("m"), ends.alias("e")), build)
 
-    found = T.let(F.transform(F.transform(T.lines(c), T.strip_part), line), lambda rows: T.let(starts(rows), lambda marks: F.when(F.size(marks) == 0, empty).otherwise(cut(rows, marks))))
-    return F.when(F.coalesce(T.strip(c), F.lit("")) == "", empty).otherwise(found)
+    def whole(t: Column) -> Column:
+        found = T.let(F.transform(F.transform(T.lines(t), T.strip_part), line), lambda rows: T.let(starts(rows), lambda marks: F.when(F.size(marks) == 0, empty).otherwise(cut(rows, marks))))
+        return F.when(F.coalesce(T.strip(t), F.lit("")) == "", empty).otherwise(found)
+
+    return T.let(T._col(c), whole)
 
 
 def resolve(loader_sections: Column | str | None, c: Column | str) -> Column:
     """The loader's sections, else the heuristic ones, else the whole text as one paragraph."""
-    whole = F.array(_section(T.strip(c), "paragraph", 0))
-    found = T.let(extract(c), lambda x: F.when((F.size(x) > 0) | (F.coalesce(T.strip(c), F.lit("")) == ""), x).otherwise(whole))
+    def or_whole(t: Column) -> Column:
+        return T.let(extract(t), lambda x: F.when((F.size(x) > 0) | (F.coalesce(T.strip(t), F.lit("")) == ""), x).otherwise(F.array(_section(T.strip(t), "paragraph", 0))))
+
+    found = T.let(T._col(c), or_whole)
     if loader_sections is None:
         return found
     own = F.col(loader_sections) if isinstance(loader_sections, str) else loader_sections

@@ -83,10 +83,10 @@ def judge(checked: DataFrame, sources: DataFrame, store: StageStore, tag: str, p
     asked = checked.where("leak_action <> 'drop'").select("question_id", "chunk_id", "question", "answer")
     faith = asked.join(sources, "chunk_id").select("question_id", _prompt(prompts, "faithfulness", question="question", answer="answer", chunk="context").alias("prompt"))
     alone = asked.select("question_id", _prompt(prompts, "standalone", question="question", answer="answer").alias("prompt"))
-    a = store.made(f"{tag}-faithfulness", lambda: _ask(faith, "faithfulness", prompts, factory, s).drop("prompt"))
-    b = store.made(f"{tag}-standalone", lambda: _ask(alone, "standalone", prompts, factory, s).drop("prompt"))
-    ja = a.select("question_id", parse.judge("reply", judging.FAITHFULNESS).alias("j")).where("j is not null").select("question_id", "j.*")
-    jb = b.select("question_id", parse.judge("reply", judging.STANDALONE).alias("j")).where("j is not null").select("question_id", "j.*")
+    # read as they are written, so that each reply is parsed once
+    a = store.made(f"{tag}-faithfulness", lambda: _ask(faith, "faithfulness", prompts, factory, s).select("question_id", "reply", "error", parse.judge("reply", judging.FAITHFULNESS).alias("j")))
+    b = store.made(f"{tag}-standalone", lambda: _ask(alone, "standalone", prompts, factory, s).select("question_id", "reply", "error", parse.judge("reply", judging.STANDALONE).alias("j")))
+    ja, jb = (x.where("j is not null").select("question_id", "j.*") for x in (a, b))
     return judging.verdicts(checked.join(judging.merge_judges(ja, jb), "question_id", "left"), dict(s.thresholds))
 
 
