@@ -20,6 +20,39 @@ def test_held_out(spark):
     assert expected[y == 0].mean() < expected[y == 1].mean() < expected[y == 2].mean()
 
 
+def test_held_out_toxic_goes_in_every_language(spark):
+    """Trained on three quarters of the labelled texts; no held-out text is a copy of a training text."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    texts, grades = q.rated(docs, labels)
+    lang = dict(docs.select("text", "lang").toArrow().to_pandas().itertuples(index=False))
+    for seed in (0, 1):
+        rng = np.random.default_rng(seed).permutation(len(grades))
+        x, y, cut = texts.take(pa.array(rng)), grades[rng], len(grades) * 3 // 4
+        known = set(x[:cut].to_pylist())
+        new = np.array([t not in known for t in x[cut:].to_pylist()])
+        of = np.array([lang[t] for t in x[cut:].to_pylist()])
+        _, tail = q.fit(x[:cut], y[:cut]).score(x[cut:])
+        y = y[cut:]
+        for name in ("en", "de", "fr", "es"):
+            toxic, clean = tail[(y == 1) & new & (of == name)] >= q.KEEP, tail[(y == 2) & new & (of == name)] >= q.KEEP
+            assert toxic.sum() <= max(1, 0.1 * len(toxic)), (seed, name)
+            assert clean.mean() > 0.98, (seed, name)
+
+
+def test_few_labels_lose_few_clean_documents(spark):
+    """Trained on the 399 labels of one table, on labelled texts of another."""
+    read = lambda sf: q.rated(*(spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels")))
+    x, y = read("sf0.1")
+    _, tail = q.calibrated(*read("sf0.01")).score(x[:1500])
+    assert (tail[y[:1500] == 2] >= q.KEEP).mean() > 0.95 and (tail[y[:1500] == 0] >= q.KEEP).mean() < 0.1
+
+
+def test_parts_of_words():
+    w = q.textvec.words(*q.textvec.raw(pa.array(["abcde abc", "xabcde"])))
+    run, owner = q.grams(w, q.textvec.raw(pa.array(["abcde abc", "xabcde"]))[0])
+    assert owner.tolist() == [0, 0, 1, 1, 1] and run[1] == run[4] and len(set(run.tolist())) == 4
+
+
 def test_thresholds_ascend_and_probabilities_sum():
     texts = pa.array([f"good words here number {i}" for i in range(40)] + [f"BAD!! WORDS!! {i}" for i in range(40)] + [f"mild idiot words here {i}" for i in range(40)])
     m = q.fit(texts, np.repeat([2, 0, 1], 40), epochs=80)
