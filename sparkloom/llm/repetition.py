@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import textvec
 
-#: Repeats of fewer words don't count; the limits of covered fraction and of words in one repeat.
-LEAST, MOST_COVERED, LONGEST = 15, 0.3, 60
+#: Repeats of fewer words don't count (a word said 6 times is a repeat of 5); the limits of covered fraction and of
+#: words in one repeat.
+LEAST, MOST_COVERED, LONGEST = 5, 0.3, 60
 
 
 def suffix_array(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -56,3 +56,22 @@ def test_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "3", "3", "6", "None"]
     assert sorted(str(r.doc_id) for r in rp.scored(docs).collect()) == ["1", "2", "3", "3", "6", "None"]
     assert rp.select(docs.limit(0)).count() == 0
+
+
+def test_short_repeats_count(spark):
+    """Every word said 6 to 12 times; a line of 8 words between other lines, again and again; and what must stay."""
+    stutter = " ".join(" ".join([f"w{i}"] * (6 + i % 7)) for i in range(30))
+    rng = np.random.default_rng(3)
+    other = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**9, n))
+    line = "click here to read more of our stories"
+    between = "\n".join(f"{line}\n{other(6)}" for _ in range(20))
+    seldom = "\n".join([line, other(200), line, other(200)])
+    docs = spark.createDataFrame([(1, stutter), (2, between), (3, seldom)], "doc_id bigint, text string")
+    assert [r.doc_id for r in rp.scored(docs).collect()] == [3]
+
+
+def test_good_documents_pass(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    good = docs.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id").cache()
+    assert rp.scored(good).count() > 0.997 * good.count()
+    assert not rp.scored(docs.where("doc_id in (772, 7042, 8833)")).count()
