@@ -5,8 +5,10 @@ tokens. Whole-span features (shape, checksum, octets, hex length, what stands be
 candidate segment for each type, and dynamic programming over segment ends picks boundaries and types jointly.
 The weights maximise the likelihood of labelled windows that training_windows() makes.
 
-Every entity needs a digit, "@" or "=" in it or right before it, so only windows around those characters are
-decoded, at any place of the text; elsewhere all tokens are outside. Types: EMAIL, PHONE, IP, CARD, SECRET
+Every entity has a digit, "@", "=", ":", a lower-case letter before a capital, or AKIA or ASIA in it or right before
+it, so only windows around those are decoded, at any place of the text; elsewhere all tokens are outside. A secret of
+letters only is known by its mixed case after a key word with ":" or "=", or as a key id; lower-case words after a
+key word ("password: required") are none. Types: EMAIL, PHONE, IP, CARD, SECRET
 (keys, tokens, passwords), SSN, IBAN.
 
 Nulls and odd input: a null text stays null and an empty one empty, with no entities. A null doc_id is handled
@@ -33,6 +35,8 @@ TRAINING_WINDOWS = 900
 
 _TOKEN = re.compile(r"[A-Za-z0-9_\u0080-\U0010ffff]+|[^\sA-Za-z0-9_\u0080-\U0010ffff]")
 _ANCHOR = re.compile(r"[0-9@=]")
+#: What windows are laid around: anchors, and what secrets of letters only have.
+_NEAR = re.compile(r"[0-9@=:]|[a-z][A-Z]|A[KS]IA")
 _SPACE = frozenset(" \t\n\r\x0b\x0c   ")
 _FEATURES = 1 << 12
 
@@ -46,6 +50,7 @@ _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 _OCTETS = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}\Z")
 _MAIL = re.compile(r"[\w.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\Z")
 _SHAPE = re.compile(r"(\d+)|([^\W\d_]+)|(\s+)|(.)", re.S)
+_FLIP = re.compile("[a-z][A-Z]")
 _GLUE = frozenset("@.-_+%/:")
 
 
@@ -72,10 +77,13 @@ def span_features(text: str, start: int, end: int, before: str) -> list[int]:
     compact = len(s) == nd + na
     if nd and na and compact:
         out.append(f"mix{min(len(s) // 4, 10)}")
+    if compact and not nd and len(s) >= 8:
+        flips, keyed = min(len(_FLIP.findall(s)), 4), before != "" and text[max(0, start - 4) : start].rstrip(" \"'")[-1:] in (":", "=")
+        out += [f"flip{flips}", f"flip{flips}keyed{keyed}"]
     if _HEX.match(s) and len(s) >= 12:
         out += ["hex", f"hex{min(len(s) // 4, 12)}"]
     if s[:4].upper() in ("AKIA", "ASIA") and len(s) == 20 and compact:
-        out.append("keyid")
+        out += ["keyid", f"keyid{nd > 0}"]
     if _OCTETS.match(s):
         out.append("octets" if all(int(x) < 256 for x in s.split(".")) else "overoctets")
     if _MAIL.match(s):
@@ -197,6 +205,21 @@ def training_windows(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int,
     hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     mixed = lambda k: "".join(r.choice(letters + letters.upper() + "0123456789") for _ in range(k))
 
+    cased = lambda k: r.choice("abcdefghij") + r.choice("ABCDEFGHIJ") + "".join(r.choice(letters + letters.upper()) for _ in range(k - 2))
+    camel = lambda k: "".join(word(3, 6).capitalize() for _ in range(k))
+
+    def unnumbered() -> tuple[str, str, str]:
+        """Secrets of letters only."""
+        key = r.choice(["token", "password", "secret", "api_key", "key", "passwd", "pwd", "auth"])
+        key = r.choice([key, key, key.capitalize(), key.upper()])
+        v = r.choice([cased(12), cased(12), cased(r.randint(9, 32)), camel(3), camel(4)])
+        return r.choice([(f"{key}: ", v, ""), (f"{key}: ", v, ""), (f"{key}=", v, ""), (f'{key} = "', v, '"'), ("", r.choice(["AKIA", "ASIA"]) + "".join(r.choice(letters.upper()) for _ in range(16)), "")])
+
+    def lettered() -> str:
+        """Words in capitals, mixed case or after a key word that are no secrets."""
+        key = r.choice(["token", "password", "secret", "key", "auth", "Password", "KEY", "note", "Note", "See"])
+        return r.choice([f"{key}: {word()}", f"{key}: {word(8, 14)} {word()}", f"{key}: {word(4, 12).capitalize()}", f"{word()}{word(3, 8).capitalize()}", camel(2), camel(3), camel(4), f"{word(3, 6)}{camel(2)}", word(4, 20).upper(), f"{word()}: {word()}", f"{word()}: {camel(2)}", f"the {key} to {word(6, 12)}", "asia", "Asia", f"ASIA {word().upper()}"])
+
     def mail() -> str:
         local = r.choice([f"{word()}", f"{word()}.{word()}", f"{word()}.{digits(2)}", f"{word()}{digits(2)}", f"{word(1, 1)}_{word()}", f"{word()}+{word()}"])
         return f"{local}@{r.choice([word(), word() + digits(1), word() + '-' + word(2, 4)])}.{r.choice(['com', 'org', 'example.com', 'co.uk', 'example.net', 'de', 'io'])}"
@@ -221,13 +244,18 @@ def training_windows(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int,
         text, spans = " ".join(word() for _ in range(r.randint(0, 3))), []
         for _ in range(r.choice([1, 1, 1, 2, 2, 3])):
             text += (r.choice([" ", " ", "\n", " | "]) if text else "")
-            kind = r.choice(["EMAIL", "PHONE", "IP", "CARD", "SECRET", "SSN", "IBAN", None, None, None])
+            kind = r.choice(["EMAIL", "PHONE", "IP", "CARD", "SECRET", "UNNUMBERED", "SSN", "IBAN", None, None, None, "LETTERED"])
             pre = post = ""
-            if kind == "SECRET":
+            shout = r.random() < 0.15 and kind not in ("UNNUMBERED", "LETTERED")
+            if kind == "UNNUMBERED":
+                (pre, v, post), kind = unnumbered(), "SECRET"
+            elif kind == "LETTERED":
+                v, kind = lettered(), None
+            elif kind == "SECRET":
                 pre, v, post = secret()
             else:
                 v = mail() if kind == "EMAIL" else phone() if kind == "PHONE" else ".".join(str(r.randint(0, 255)) for _ in range(4)) if kind == "IP" else card() if kind == "CARD" else f"{digits(3)}-{digits(2)}-{digits(4)}" if kind == "SSN" else r.choice(["DE", "FR", "ES", "GB"]) + digits(2) + (digits(18) if r.random() < 0.6 else "".join(" " + digits(4) for _ in range(4)) + " " + digits(2)) if kind == "IBAN" else plain()
-            if r.random() < 0.15:
+            if shout:
                 pre, v = pre.upper(), v.upper()
             text += pre
             if kind:
@@ -275,9 +303,9 @@ def train(windows: int = TRAINING_WINDOWS, epochs: int = 12, rate: float = 0.3,
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Where the windows around anchor characters begin and end: three tokens before, two after, merged."""
+    """Where the windows around places of _NEAR begin and end: three tokens before, two after, merged."""
     n, at = len(text), 0
-    m = _ANCHOR.search(text)
+    m = _NEAR.search(text)
     while m:
         a = m.start()
         for _ in range(4):
@@ -296,14 +324,14 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
                     end += 1
                 while end < n and text[end] not in _SPACE:
                     end += 1
-            m = _ANCHOR.search(text, to)
+            m = _NEAR.search(text, to)
             if not m or m.start() >= end:
                 break
             b = m.start()
         yield a, end
         at = end
         if m:
-            m = _ANCHOR.search(text, end)
+            m = _NEAR.search(text, end)
 
 
 class Tagger:
