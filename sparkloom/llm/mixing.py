@@ -11,7 +11,10 @@ whole, and the next epoch's order is cut after the longest prefix of at most B %
 4096 ranges of the order are summed first, and only the range in which the prefix ends is sorted, so a hot
 leaf is never sorted in one task. Documents are then chosen by comparing keys with their leaf's row.
 
-Nulls and odd input: a null domain, lang or source counts as 'unknown'. A null, empty or white text has no
+The leaf of a row is its own domain, lang and source. The documents table has no domain column: there, and only there,
+the domain follows from the number at the end of the source's name (DOMAINS in turn; 'other' without a number).
+
+Nulls and odd input: a null domain, lang or source counts as 'unknown'; one of another type counts by its text. A null, empty or white text has no
 tokens and is never chosen. A null doc_id has the order of the word 'null'. Repeated rows and equal ids tie: all
 or none of them are in a prefix. Rows of an unnamed branch have weight DEFAULT_WEIGHT; weight 0 takes nothing.
 Sums are whole tokens, rounded down, so a node may stay one token a child below its budget. Other columns,
@@ -42,9 +45,11 @@ def token_count(text: Column) -> Column:
 
 
 def _leaf_columns(docs: DataFrame) -> list[Column]:
+    """The tree's path of each row; without a domain column, the domain is made from the number at the source's end."""
     domain = F.expr(f"case when regexp_extract(source, '([0-9]{{1,9}})$', 1) = '' then 'other' else element_at(array({', '.join(map(repr, DOMAINS))}), pmod(cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) as int), 4) + 1) end")
-    own = F.col("domain") if "domain" in docs.columns and "source" not in docs.columns else domain
-    return [F.coalesce(own, F.lit("unknown")).alias("domain"), F.coalesce("lang", F.lit("unknown")).alias("lang"), F.coalesce("source", F.lit("unknown")).alias("source")]
+    own = F.col("domain").cast("string") if "domain" in docs.columns else domain
+    named = lambda c: F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c, F.lit("unknown"))
+    return [named(own).alias("domain"), *(named(c).alias(c) for c in ("lang", "source"))]
 
 
 def _key(epoch: Column, seed: int) -> Column:

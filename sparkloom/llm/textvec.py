@@ -8,6 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -21,6 +24,17 @@ _SINGLE = np.zeros(256, bool)
 _SINGLE[0xE3:0xED] = True
 
 
+def id_key(df: DataFrame, column: str = "doc_id") -> Column:
+    """An id as bigint: whole numbers as they are, ids of any other type (strings, decimals, structs) by a 64-bit hash of
+    their text; null stays null."""
+    own = F.col(f"`{column}`")
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return own.cast("bigint")
+    text = F.to_json(F.struct(own)) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else own.cast("string")
+    return F.when(own.isNotNull(), F.xxhash64(text))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -73,9 +87,13 @@ def words(data: np.ndarray, offsets: np.ndarray, solid: bool = False, step: int
             gap = np.flatnonzero(~table[data[at:to]])
             if len(gap):
                 to = at + int(gap[-1]) + 1
-            else:
-                rest = np.flatnonzero(~table[data[to : to + (64 << 20)]])
-                to = to + int(rest[0]) + 1 if len(rest) else min(n, to + (64 << 20))
+            else:  # one word up to here; it ends where the next other byte is, however far
+                while to < n:
+                    rest = np.flatnonzero(~table[data[to : to + (4 << 20)]])
+                    if len(rest):
+                        to += int(rest[0]) + 1
+                        break
+                    to = min(n, to + (4 << 20))
         part = data[at:to]
         word = table[part]
         begin = word.copy()

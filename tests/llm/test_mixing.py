@@ -67,3 +67,13 @@ def test_odd_rows(spark):
     twice = mx.mix(docs, 9.0, 2, {}).count()
     assert twice == 10
     assert mx.mix(docs.limit(0)).count() == 0
+
+
+def test_own_domain_and_types(spark):
+    rows = [(f"id{i}", "a b c", "law" if i % 2 else None, "en", f"src{i % 3}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, domain string, lang string, source string")
+    index, _ = mx.plan(docs)
+    assert {(r.domain, r.source) for r in index.collect()} == {(d, f"src{i}") for d in ("law", "unknown") for i in range(3)}
+    assert mx.mix(docs, 1.0, 1).count() == 12
+    odd = docs.withColumn("lang", F.lit(7)).withColumn("domain", F.array(F.lit(1)))
+    assert {(r.domain, r.lang) for r in mx.plan(odd)[0].collect()} == {("[1]", "7")}
