@@ -17,8 +17,9 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _POS = _rng.integers(1, 2**63, 1 << 16, dtype=np.uint64) | np.uint64(1)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_SOLID = np.ones(256, bool)
-_SOLID[[0, 9, 10, 11, 12, 13, 32]] = False
+#: Bytes that aren't ASCII white space.
+SOLID = np.ones(256, bool)
+SOLID[[0, 9, 10, 11, 12, 13, 32]] = False
 #: Lead bytes of scripts written without spaces (U+3000 to U+CFFF): each character starts a word.
 _SINGLE = np.zeros(256, bool)
 _SINGLE[0xE3:0xED] = True
@@ -78,7 +79,7 @@ class Words:
 
 def words(data: np.ndarray, offsets: np.ndarray, solid: bool = False, step: int = 2 << 20) -> Words:
     """Hashed words: runs of letters, digits and non-ASCII characters (solid: of anything but white space)."""
-    table, n, docs = (_SOLID if solid else _WORD), len(data), len(offsets) - 1
+    table, n, docs = (SOLID if solid else _WORD), len(data), len(offsets) - 1
     hashes, starts, ends, at = [], [], [], 0
     first = np.unique(offsets[:-1])
     while at < n:
