@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -57,19 +58,66 @@ def test_most_secrets_without_digits_are_found(tagger):
     assert sum(found[:200]) >= 190 and sum(found[200:]) >= 198
 
 
-def test_decoding_is_exact(tagger):
-    """The dynamic programme finds the best of all segmentations."""
+def test_decoding_is_exact():
+    """The dynamic programme finds the best of all segmentations into candidates, whatever the weights."""
     rng = np.random.default_rng(2)
-    for n in range(1, 7):
-        segments = [(i, j) for i in range(n) for j in range(i + 1, n + 1)]
-        scores = rng.normal(size=(len(segments), 3))
-        scores[[b - a > 1 for a, b in segments], 0] = -1e9
-        at = {s: k for k, s in enumerate(segments)}
-        top = max(sum(scores[at[s]].max() for s in itertools.pairwise([0, *cut, n])) for r in range(n) for cut in itertools.combinations(range(1, n), r))
-        found = pii.best(n, segments, scores)
-        covered = {x for i, j, _ in found for x in range(i, j)}
-        got = sum(scores[at[i, j], t] for i, j, t in found) + sum(scores[at[i, i + 1], 0] for i in range(n) if i not in covered)
-        assert got == pytest.approx(top)
+    for text in ("a1", "x 12-3 y", "jo.d@m.io 1.2", "key: Ab 5", "+1 (2) 3", "::1 a", "-- @"):
+        for _ in range(5):
+            weights = rng.normal(size=(pii._FEATURES + 1, 1 + len(pii.TYPES)))
+            weights[-1] = 0
+            tokens, segments, feats, may = pii.candidates(text)
+            scores = pii.potentials(weights, segments, pii._padded(feats), may)
+            at, n = {s: k for k, s in enumerate(segments)}, len(tokens)
+            sums = [sum(scores[at[s]].max() for s in itertools.pairwise([0, *cut, n])) for r in range(n) for cut in itertools.combinations(range(1, n), r) if all(s in at for s in itertools.pairwise([0, *cut, n]))]
+            for step in (2, 512):
+                got = pii.decode(weights, text, 0, len(text), step)
+                starts, ends = {x: i for i, (x, _) in enumerate(tokens)}, {y: i + 1 for i, (_, y) in enumerate(tokens)}
+                found = [(starts[x], ends[y], pii.TYPES.index(t) + 1) for x, y, t in got]
+                covered = {x for i, j, _ in found for x in range(i, j)}
+                assert sum(scores[at[i, j], t] for i, j, t in found) + sum(scores[at[i, i + 1], 0] for i in range(n) if i not in covered) == pytest.approx(max(sums))
+
+
+ODD = ["a1 - 2 3", "key:\nAbCd 12", "x=1 y = 22 -- 5", "p 1 2\n3 4", "::1 ::2", "(12) (34) - (5)", "password: Abcdefgh1 22 token = 'abcdefghijklmnopqrst'", "@ a @b c@d.e", "1.2.3.4.5.6.7.8.9.10.11.12.13", "tel 12  34", "\t9\u00a08", "é9 日本1", "key = \"ab/cd+12==\"x"]
+
+
+def test_windows_give_what_the_whole_text_gives(tagger):
+    import pyarrow.parquet as pq
+
+    texts = ODD + [" ".join(ODD), "\n".join(ODD)] + [t for t, _ in pii.training_windows(200, 77)]
+    texts += [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist() if t and len(t) < 4000]
+    for weights in (tagger.weights, np.random.default_rng(4).normal(size=tagger.weights.shape) * (np.arange(len(tagger.weights)) < pii._FEATURES)[:, None]):
+        own = pii.Tagger(weights)
+        for t in texts:
+            assert own.entities(t) == pii.decode(weights, t, 0, len(t))
+
+
+def test_entities_are_candidates():
+    for text, spans in pii.training_windows(500, 5):
+        tokens, segments, _, may = pii.candidates(text)
+        gold = pii._gold(tokens, segments, spans)
+        assert gold is not None and all(may[segments.index((i, j))] for i, j, _ in gold)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("a.b.c.d.e.f.g.h.i.j@mail.example.com x", ["a.b.c.d.e.f.g.h.i.j@mail.example.com"]),
+    ("my password: correcthorsebatterystaple yes", ["correcthorsebatterystaple"]),
+    ("from 2001:db8::8a2e:370:7334 to", ["2001:db8::8a2e:370:7334"]),
+    ('{"email":"john.doe@x.com","ip":"10.2.3.4"}', ["john.doe@x.com", "10.2.3.4"]),
+    ("pay by 4111 1111 1111 1111 now", ["4111 1111 1111 1111"]),
+    ("the number 4111111111111112 and 9021348765120987 are none", []),  # no card has this checksum, or this first digit
+    ("commit 9fceb02d0ae598e95dc970b74767f19372d61af8 fixes it", []),
+    ("at 12:30:45 on 3/4", []),
+])
+def test_more_cases(tagger, text, want):
+    assert [text[a:b] for a, b, _ in tagger.entities(text)] == want
+
+
+def test_long_words_take_time_in_proportion(tagger):
+    for unit, found in (("a1+b/", 0), ("user@mail.com,", 1), ("1.", 0), ("x9", None)):
+        began, text = time.process_time(), unit * (60_000 // len(unit))
+        got = tagger.entities(text)
+        assert time.process_time() - began < 30, unit
+        assert found is None or len(got) == found * (60_000 // len(unit))
 
 
 def test_gradient(tagger):
