@@ -8,26 +8,26 @@ from pyspark.sql import functions as F
 from sparkloom.session import materialize
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges to (node, component), the component being its smallest node.
 
-    Large-star and small-star steps alternate until no edge changes; each round's edges are a written
-    table, so a lost executor costs one round. Nodes without an edge to another don't appear.
-    Raises if it has not settled after the given rounds (it needs about log of the longest path).
+    Large-star and small-star steps alternate until no edge changes, which takes about the logarithm of the longest path
+    in rounds. A node's smallest neighbour is an aggregate, and meets its neighbours by a join: the neighbours of a
+    hub are never gathered in one row. Each round's edges are a written table, so a lost executor costs one round.
+    Nodes without an edge to another don't appear.
     """
     now = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     known = None
-    for _ in range(rounds):
-        both = now.union(now.select("b", "a"))
-        # large-star: every larger neighbour of u is linked to u's smallest neighbour or u
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("near"))
-        large = least.select(F.explode("near").alias("v"), F.least("a", "m").alias("m"), "a").where("v > a").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        # small-star: u and its smaller neighbours are linked to the smallest of them
-        small = large.groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("near"))
-        linked = small.select(F.explode(F.array_append("near", F.col("b"))).alias("v"), "m").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        now = materialize(linked, "edges")
+    while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == known:
             return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()
         known = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        both = now.union(now.select("b", "a"))
+        # large-star: every larger neighbour of u is linked to u's smallest neighbour or u
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        large = now.join(least, "a").select(F.least("a", "m").alias("a"), "b").distinct()
+        # small-star: u and its smaller neighbours are linked to the smallest of them
+        small = large.groupBy("b").agg(F.min("a").alias("m"))
+        linked = large.join(small, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y")
+        now = materialize(linked.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")

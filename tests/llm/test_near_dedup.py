@@ -31,16 +31,50 @@ def closure(pairs):
     return {x: root(x) for x in up}
 
 
-def test_groups_match_brute_force(spark):
+def test_groups_match_brute_force(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    want = closure(brute(rows))
-    got = {r.doc_id: r.group_id for r in nd.groups(docs).collect()}
     pairs = brute(rows)
+    want = closure(pairs)
+    monkeypatch.setattr(nd, "MEMBERS", 3)  # bands and components in parts and blocks
+    monkeypatch.setattr(nd, "BLOCK_DOCS", 3)
+    got = {r.doc_id: r for r in nd.groups(docs).collect()}
+    lost = [(a, b) for a, b in pairs if a not in got or b not in got or got[a].group_id != got[b].group_id]
+    assert len(lost) <= 0.01 * len(pairs)
+    for d, r in got.items():  # nothing is joined that brute force doesn't join
+        assert want[d] == want[r.group_id]
+    links = {}
+    for a, b in pairs:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    assert lost or {d: r.links for d, r in got.items()} == links
+
+
+def test_recall_near_the_threshold(spark):
+    rng = random.Random(6)
+    rows, n = [], 0
+    for _ in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 300))]
+        cut = rng.uniform(0.66, 0.9)  # so many words stay: Jaccard from about 0.5 on
+        rows += [(n, " ".join(base)), (n + 1, " ".join(base[: int(len(base) * cut)] + [f"x{rng.randrange(10**6)}" for _ in range(int(len(base) * (1 - cut)))]))]
+        n += 2
+    pairs = brute(rows)
+    got = {r.doc_id: r.group_id for r in nd.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     found = sum(got.get(a, -1) == got.get(b, -2) for a, b in pairs)
-    assert found >= 0.9 * len(pairs)
-    for d, g in got.items():  # nothing is joined that brute force doesn't join
-        assert want[d] == want[g]
+    assert len(pairs) > 100 and found >= 0.99 * len(pairs)
+
+
+def test_pairs_of_sets_are_exact():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60 if i % 3 else 4000, rng.integers(1, 50)).astype(np.uint64)) for i in range(120)]
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))}
+    for most in (100, 64_000):
+        real, nd._tiles.__defaults__ = nd._tiles.__defaults__, (most,)
+        try:
+            assert set(zip(*(x.tolist() for x in nd.near_pairs(sets, None, 0.5)))) == want
+            i, j = nd.near_pairs(sets[:50], sets[50:], 0.5)
+            assert set(zip(i.tolist(), (j + 50).tolist())) == {(a, b) for a, b in want if a < 50 <= b}
+        finally:
+            nd._tiles.__defaults__ = real
 
 
 def test_odd_rows(spark):
@@ -57,6 +91,9 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 4), (False, 5), (False, 7), (False, 9), (False, 10), (True, 0)]
     assert nd.groups(docs.limit(0)).count() == 0
+    # ids of any type; rows of one id with different words are different documents
+    named = spark.createDataFrame([("a", " ".join(base)), ("b", " ".join(edit)), ("a", "quite another text"), ("c", "quite another text"), (None, "x")], "doc_id string, text string")
+    assert nd.dedup(named).count() == 3
 
 
 def test_estimate_is_corrected():
