@@ -28,8 +28,8 @@ from sparkloom.llm import textvec
 
 WINDOW = 192
 WIDTHS, FILTERS, EMBED = (2, 4, 6), 16, 8
-#: The network is trained on at most so many labelled texts of each language and so many windows of each text.
-TEXTS, WINDOWS_PER_TEXT = 700, 3
+#: The network is trained on all windows of at most so many labelled texts of each language.
+TEXTS = 200
 
 
 def cut(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,14 +106,9 @@ def train(texts: pa.Array, labels: list[str], epochs: int = 6, batch: int = 64,
     )
     if len(languages) < 2:
         return net
-    windows, doc, used = cut(*textvec.raw(texts))
-    # some windows of each text, and short texts as often as they come
-    draw = rng.random(len(doc))
-    order = np.lexsort((draw, doc))
-    first = np.searchsorted(doc[order], np.arange(len(texts)))
-    keep = order[(np.arange(len(doc)) - first[doc[order]]) < WINDOWS_PER_TEXT]
+    windows, doc, _ = cut(*textvec.raw(texts))
     number = {x: i for i, x in enumerate(languages)}
-    x, y = windows[keep], np.array([number[labels[d]] for d in doc[keep]])
+    x, y = windows, np.array([number[x] for x in labels])[doc]
     short = rng.random(len(x)) < 0.3  # cut some of them, so that short texts are known too
     size = rng.integers(8, WINDOW, len(x))
     x = np.where(short[:, None] & (np.arange(WINDOW) >= size[:, None]), 0, x).astype(np.uint8)
@@ -161,10 +156,10 @@ def train(texts: pa.Array, labels: list[str], epochs: int = 6, batch: int = 64,
 
 def sample(docs: DataFrame, texts: int = TEXTS) -> tuple[pa.Array, list[str]]:
     """At most `texts` labelled texts of each language, by a hash of their doc_id."""
-    ids = docs.where("lang is not null and doc_id is not null and text is not null and text <> ''").select("lang", F.col("doc_id").cast("bigint").alias("__id")).withColumn("__h", F.xxhash64("__id"))
-    some = ids.selectExpr("__id", "row_number() over (partition by lang order by __h, __id) as __n").where(f"__n <= {texts}").select("__id")
-    got = docs.select(F.col("doc_id").cast("bigint").alias("__id"), "text", "lang").where("lang is not null and text is not null and text <> ''").join(F.broadcast(some.distinct()), "__id")  # at most TEXTS ids a language
-    t = got.select("__id", "lang", "text").toArrow().sort_by([("__id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    rows = docs.select(textvec.id_key(docs).alias("__id"), "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and __id is not null and text is not null and text <> ''")
+    some = rows.select("lang", "__id", F.xxhash64("__id").alias("__h")).distinct().selectExpr("lang", "__id", "row_number() over (partition by lang order by __h, __id) as __n").where(f"__n <= {texts}").select("lang", "__id")
+    got = rows.join(F.broadcast(some), ["lang", "__id"])  # at most TEXTS ids a language
+    t = got.groupBy("lang", "__id").agg(F.min("text").alias("text")).toArrow().sort_by([("__id", "ascending"), ("lang", "ascending")])  # one text an id
     return t.column("text").combine_chunks(), t.column("lang").to_pylist()
 
 
@@ -187,7 +182,7 @@ def _identify(net: Net):
 def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """(doc_id, lang_id, confidence) of every row; trained on `labelled` (its text and lang), or docs itself."""
     net = train(*sample(docs if labelled is None else labelled))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_identify(net), "doc_id bigint, lang_id string, confidence double")
+    return docs.select("doc_id", "text").mapInArrow(_identify(net), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_id string, confidence double")
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ and last characters, whether it repeats the one before), as frequencies. The run
 forms that no training text has be told by their parts.
 
 Nulls and odd input: a null or empty text, or white space only, has grade 0 and probability 0 and is rejected.
-A null doc_id is scored like any other row. Repeated rows are scored alike. Labels with a null
+A null doc_id is scored like any other row; ids of documents and labels may be of any type, the same in both.
+Of several texts of a labelled id the first in order is trained on. Repeated rows are scored alike. Labels with a null
 quality or doc_id are left out; of several labels of a document the worst counts. With fewer than two
 different grades among the labels everything with a word is kept, at the grade that there is (or the top one).
 Other columns, whatever their names, pass through unread.
@@ -112,6 +113,25 @@ def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return (*map(np.concatenate, (docs, buckets, values)), n)
 
 
+def objective(w: np.ndarray, p: np.ndarray, doc: np.ndarray, col: np.ndarray, value: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood of the grades, and its gradients by weights and threshold parameters.
+
+    P(grade = y) = sigmoid(t_y - s) - sigmoid(t_(y-1) - s), s being a text's sum of weight times value; p has the first
+    threshold and the logarithms of the gaps to the next ones.
+    """
+    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+    n = len(grades)
+    s = np.bincount(doc, w[col] * value, n)
+    edge = np.concatenate([[-1e9], np.cumsum(np.concatenate([p[:1], np.exp(p[1:])])), [1e9]])
+    hi, lo = sig(edge[grades + 1] - s), sig(edge[grades] - s)
+    prob = np.maximum(hi - lo, 1e-9)
+    dhi, dlo = hi * (1 - hi) / prob, lo * (1 - lo) / prob
+    ds = (dhi - dlo) / n
+    dt = -(np.bincount(grades, dhi, GRADES)[:-1] - np.bincount(grades, dlo, GRADES)[1:]) / n
+    tail = np.cumsum(dt[::-1])[::-1]
+    return float(-np.log(prob).mean()), np.bincount(col, ds[doc] * value, len(w)), np.concatenate([tail[:1], tail[1:] * np.exp(p[1:])])
+
+
 def fit(texts: pa.Array, grades: np.ndarray, epochs: int = 60, l2: float = 1e-5, rate: float = 0.05, least: int = 3) -> Model:
     """Adam on the cumulative-link likelihood; features in fewer than `least` texts have weight 0."""
     seen = np.unique(grades)
@@ -129,7 +149,6 @@ def fit(texts: pa.Array, grades: np.ndarray, epochs: int = 60, l2: float = 1e-5,
     base = np.log(share / (1 - share))
     p = np.concatenate([base[:1], np.log(np.maximum(np.diff(base), 0.1))])  # thresholds: first, then log gaps
     pm, pv, step = np.zeros_like(p), np.zeros_like(p), 0
-    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -50, 50)))
     for _ in range(epochs):
         order = rng.permutation(n)
         for at in range(0, n, 256):
@@ -137,18 +156,8 @@ def fit(texts: pa.Array, grades: np.ndarray, epochs: int = 60, l2: float = 1e-5,
             size = start[rows + 1] - start[rows]
             flat = np.repeat(start[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
             own, c, x = np.repeat(np.arange(len(rows)), size), col[flat], value[flat]
-            s = np.bincount(own, w[c] * x, len(rows))
-            t = np.cumsum(np.concatenate([p[:1], np.exp(p[1:])]))
-            edge = np.concatenate([[-1e9], t, [1e9]])
-            y = grades[rows]
-            hi, lo = sig(edge[y + 1] - s), sig(edge[y] - s)
-            prob = np.maximum(hi - lo, 1e-9)
-            dhi, dlo = hi * (1 - hi) / prob, lo * (1 - lo) / prob
-            ds = (dhi - dlo) / len(rows)
-            dt = -(np.bincount(y, dhi, GRADES)[:-1] - np.bincount(y, dlo, GRADES)[1:]) / len(rows)
-            tail = np.cumsum(dt[::-1])[::-1]
-            dp = np.concatenate([tail[:1], tail[1:] * np.exp(p[1:])])
-            g = np.bincount(c, ds[own] * x, len(ids)) + l2 * w
+            _, g, dp = objective(w, p, own, c, x, grades[rows])
+            g += l2 * w
             step += 1
             for theta, grad, mm, vv in ((w, g, m, v), (p, dp, pm, pv)):
                 mm += 0.1 * (grad - mm)
@@ -162,11 +171,10 @@ def fit(texts: pa.Array, grades: np.ndarray, epochs: int = 60, l2: float = 1e-5,
 def rated(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[pa.Array, np.ndarray]:
     """At most `rows` labelled texts with their grades, the same ones for the same tables."""
     grade = F.when(F.col("quality") <= 0, 0).when(F.coalesce(F.col("toxic"), F.lit(0)) > 0, 1).otherwise(2)
-    graded = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("__id")).agg(F.min(grade).alias("__grade"))
+    graded = labels.where("doc_id is not null and quality is not null").groupBy(textvec.id_key(labels).alias("__id")).agg(F.min(grade).alias("__grade"))
     some = graded.orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    got = docs.select(F.col("doc_id").cast("bigint").alias("__id"), "text").where("__id is not null and text is not null").join(F.broadcast(some), "__id")  # at most SAMPLE_ROWS ids
-    t = got.select("__id", "text", "__grade").toArrow()
-    t = t.sort_by([("__id", "ascending"), ("text", "ascending")])
+    got = docs.select(textvec.id_key(docs).alias("__id"), "text").where("__id is not null and text is not null").join(F.broadcast(some), "__id")  # at most SAMPLE_ROWS ids
+    t = got.groupBy("__id").agg(F.min("text").alias("text"), F.first("__grade").alias("__grade")).toArrow().sort_by("__id")  # one text an id
     return t.column("text").combine_chunks(), t.column("__grade").to_numpy().astype(np.int64)
 
 
@@ -211,4 +219,4 @@ def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """The documents that the classifier selects, with expected grade and probability of the top grade."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.select("doc_id", "text").mapInArrow(_select(model, KEEP, True), "doc_id bigint, expected_grade double, tail_probability double")
+    return docs.select("doc_id", "text").mapInArrow(_select(model, KEEP, True), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, expected_grade double, tail_probability double")

@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sparkloom.llm import textvec
 
@@ -49,7 +48,7 @@ def suffix_array(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np.
         return at[np.bincount(group)[group] > 1]
 
     tied, levels, k = place(np.arange(n), key[sa]), [], 1
-    levels.append(rank.copy())
+    levels.append(rank.astype(np.int32))
     while len(tied):
         pos = sa[tied]
         ahead = pos + k
@@ -59,7 +58,7 @@ def suffix_array(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np.
         sa[tied] = pos[order]
         tied = place(tied, key[order])
         k *= 2
-        levels.append(rank.copy())
+        levels.append(rank.astype(np.int32))
     return sa, levels
 
 
@@ -126,8 +125,8 @@ def select(docs: DataFrame, least: int = LEAST, most: float = MOST_COVERED, long
 
 def scored(docs: DataFrame, least: int = LEAST, most: float = MOST_COVERED, longest: int = LONGEST) -> DataFrame:
     """(doc_id, covered_fraction, longest_repeat, repeated_strings) of the documents that pass."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return own.mapInArrow(_rules(least, most, longest, True), "doc_id bigint, covered_fraction double, longest_repeat bigint, repeated_strings bigint")
+    own = docs.select("doc_id", "text")
+    return own.mapInArrow(_rules(least, most, longest, True), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, covered_fraction double, longest_repeat bigint, repeated_strings bigint")
 
 
 def op7_suffix_repetition(spark, sf_dir: str) -> DataFrame:

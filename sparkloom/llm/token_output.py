@@ -8,7 +8,7 @@ the other pages.
 
 Nulls and odd input: a null text has null tokens and n_tokens 0; an empty one an empty list. Rows with a null
 doc_id and repeated rows stay as they are, nulls first in each file. An empty table gives an empty table with the
-schema. Special tokens' strings in a text are ordinary text. Other columns are not kept.
+schema. Ids that aren't whole numbers are stored as a 64-bit hash. Special tokens' strings in a text are ordinary text. Other columns are not kept.
 """
 
 from __future__ import annotations
@@ -36,18 +36,24 @@ _EDGE = re.compile(r"\S(?=[ \n\r\t])")
 SCHEMA = "doc_id bigint, n_tokens int, tokens array<int>"
 
 
-def encoding(vocabulary: str = VOCABULARY):
+def lines(vocabulary: str = VOCABULARY) -> bytes:
+    """The vocabulary file, as the driver reads it; executors get its bytes with the task."""
+    with open(os.fspath(vocabulary), "rb") as f:
+        return f.read()
+
+
+def encoding(vocabulary: str | bytes = VOCABULARY):
     import tiktoken
 
-    with open(os.fspath(vocabulary), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = vocabulary if isinstance(vocabulary, bytes) else lines(vocabulary)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, own.splitlines())}
     return tiktoken.Encoding("sparkloom", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
     """encode() gives the ids of the whole text; a long text goes in parts that end where white space begins."""
 
-    def __init__(self, vocabulary: str = VOCABULARY):
+    def __init__(self, vocabulary: str | bytes = VOCABULARY):
         self.own = encoding(vocabulary)
 
     def parts(self, text: str) -> Iterator[str]:
@@ -66,7 +72,7 @@ class Encoder:
         return np.concatenate([self.own.encode_to_numpy(p, disallowed_special=()) for p in self.parts(text)])
 
 
-def _encode(vocabulary: str):
+def _encode(vocabulary: bytes):
     kind = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +91,7 @@ def _encode(vocabulary: str):
 
 def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, tokens) of every row."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_encode(vocabulary), SCHEMA)
+    return docs.select(textvec.id_key(docs).alias("doc_id"), "text").mapInArrow(_encode(lines(vocabulary)), SCHEMA)
 
 
 def layout(encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_rows: int = 500, page_bytes: int = 1 << 20) -> dict[str, str]:

@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -75,3 +78,75 @@ def test_odd_rows(spark):
     assert q.select(docs, labels.limit(0)).count() == docs.where("trim(text) <> ''").count()
     nulls = labels.withColumn("quality", F.lit(None).cast("int"))
     assert q.select(docs, nulls).count() == docs.where("trim(text) <> ''").count()
+
+
+def test_likelihood_and_gradient_against_brute_force():
+    rng = np.random.default_rng(4)
+    w, p = rng.normal(size=6), rng.normal(size=q.GRADES - 1)
+    doc, col, value = rng.integers(0, 9, 40), rng.integers(0, 6, 40), rng.normal(size=40)
+    grades = rng.integers(0, q.GRADES, 9)
+
+    def loss(w, p):
+        t = [p[0]]
+        for gap in p[1:]:
+            t.append(t[-1] + math.exp(gap))
+        total = 0.0
+        for d in range(9):
+            s = sum(w[c] * v for i, c, v in zip(doc, col, value) if i == d)
+            below = [0.0, *(1 / (1 + math.exp(-(x - s))) for x in t), 1.0]  # P(grade < k)
+            total -= math.log(below[grades[d] + 1] - below[grades[d]])
+        return total / 9
+
+    got, gw, gp = q.objective(w, p, doc, col, value, grades)
+    assert abs(got - loss(w, p)) < 1e-9
+    for theta, grad in ((w, gw), (p, gp)):
+        for i in range(len(theta)):
+            step = np.zeros_like(theta)
+            step[i] = 1e-6
+            up, down = (loss(*((w + z, p) if theta is w else (w, p + z))) for z in (step, -step))
+            assert abs((up - down) / 2e-6 - grad[i]) < 1e-6
+
+
+def brute_features(text):
+    """{bucket: value} of one text, a word and a byte at a time."""
+    part, out = 1 << (q.BITS - 2), {}
+
+    def put(bucket, value):
+        out[bucket] = out.get(bucket, 0.0) + value
+
+    one = lambda x: q.textvec.words(*q.textvec.raw(pa.array([x])))
+    words = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.lower())
+    runs = []
+    for x in words:
+        assert len(one(x).hash) == 1
+        put(int(one(x).hash[0]) & (part - 1), 1 / math.sqrt(len(words)))
+        raw = [0, *(b + 1 for b in x.encode())]
+        runs += [raw[i : i + q.GRAM] for i in range(len(raw) - q.GRAM + 1)]
+    for r in runs:
+        h = 0
+        for b in r:
+            h = (h * 0x100000001B3 + b) % 2**64
+        put(2 * part + (int(q.textvec.mix(np.array([h], np.uint64))[0]) & (2 * part - 1)), 1 / math.sqrt(len(runs)))
+    kind = lambda b: 0 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 1 if 97 <= b <= 122 or b >= 128 else b + 8
+    tokens = text.split()
+    for i, x in enumerate(tokens):
+        raw = x.encode()
+        caps = len(raw) > 1 and not any(97 <= b <= 122 or b >= 128 for b in raw)
+        again = i > 0 and tokens[i - 1] == x
+        shape = kind(raw[-1]) << 20 | kind(raw[0]) << 8 | caps << 1 | again
+        put(part + (int(q.textvec.mix(np.array([shape], np.uint64))[0]) & (part - 1)), 4 / len(tokens))
+    return out
+
+
+def test_query_against_brute_force(spark):
+    """The whole query on sf0.001: every document scored alone from brute-force features."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = q.train(docs, labels)
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        s = sum(float(model.weights[b]) * v for b, v in brute_features(r.text).items())
+        above = [1 / (1 + math.exp(t - s)) for t in model.thresholds]
+        if r.text.split() and above[-1] >= q.KEEP:
+            want[r.doc_id] = (sum(above), above[-1])
+    got = {r.doc_id: (r.expected_grade, r.tail_probability) for r in q.op3_quality_classifier(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[d], want[d], atol=1e-4) for d in got)
