@@ -164,6 +164,7 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         held.append(b)
     if held:
         yield pa.Table.from_batches(held)
+    textvec.give_back()
 
 
 def bounds(keys: np.ndarray) -> np.ndarray:

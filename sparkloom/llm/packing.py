@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from sparkloom.llm import textvec
 
-CAPACITY, SHARD_DOCS, SHARD_BYTES = 2048, 8192, 32 << 20
+CAPACITY, SHARD_DOCS, SHARD_BYTES = 2048, 8192, 12 << 20
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -210,15 +210,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], docs: int, size: int) -> Iterator
     """Runs of rows of so many documents or bytes of text."""
     held: list[pa.RecordBatch] = []
     rows = total = 0
-    for whole in batches:
-        for b in textvec.slices(iter([whole]), "text", max(1, size // 8)):
-            for at in range(0, b.num_rows, docs):
-                part = b.slice(at, docs)
-                if held and (rows + part.num_rows > docs or total + part.nbytes > size):
-                    yield held
-                    held, rows, total = [], 0, 0
-                held.append(part)
-                rows, total = rows + part.num_rows, total + part.nbytes
+    for b in textvec.slices(batches, "text", max(1, size // 8)):
+        for at in range(0, b.num_rows, docs):
+            part = b.slice(at, docs)
+            if held and (rows + part.num_rows > docs or total + part.nbytes > size):
+                yield held
+                held, rows, total = [], 0, 0
+            held.append(part)
+            rows, total = rows + part.num_rows, total + part.nbytes
     if held:
         yield held
 
