@@ -11,6 +11,7 @@ from sparkloom import config as C
 from sparkloom import project as P
 from sparkloom import session
 from sparkloom.errors import LoomError
+from sparkloom.progress import Progress
 
 VERSION = "0.1.0"
 FORMATS = {"read": ["text", "markdown", "docx", "pdf (with PyMuPDF)"], "write": ["json", "jsonl", "csv"], "layouts": ["default", "openai_chat", "openai_legacy", "standard"]}
@@ -42,6 +43,8 @@ def parser() -> argparse.ArgumentParser:
 def process(args: argparse.Namespace) -> dict:
     spark = session.build(args.master)
     project = P.Project(spark, args.project, C.load(args.config) if args.config else None)
+    if args.verbose:
+        project.progress = Progress.console()
     P.logger("DEBUG" if args.verbose else project.config.processing.log_level)
     result = project.process(args.document, args.run)
     path = project.save(result, args.output, args.format, args.layout)

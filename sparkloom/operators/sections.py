@@ -35,13 +35,13 @@ def _long_letters(line: Column) -> Column:
     return line.rlike(r"^[A-Z][A-Za-z\s]*\z") & (F.char_length(line) >= MAX_HEADING)
 
 
-def extract(c: Column | str, markdown_only: bool = False) -> Column:
+def extract(c: Column | str, markdown_only: bool = False, joint: str | None = None) -> Column:
     """A text's sections by heading rules: other lines join to paragraphs that blank lines and headings end.
 
     Lines are classified once; a section begins at a heading or where a paragraph opens, and is sliced from the
     lines up to the next beginning.
     """
-    joint = "\n" if markdown_only else " "
+    joint = joint if joint is not None else "\n" if markdown_only else " "
     empty = F.expr(f"cast(array() as {SECTIONS})")
 
     def line(x: Column) -> Column:

@@ -19,7 +19,10 @@ from sparkloom.sources.stages import StageStore
 
 @dataclass(frozen=True)
 class Settings:
-    """repair_attempts: 0 turns repairs off. repair_keeps_diversity: a repaired question must have passed the first diversity check."""
+    """repair_attempts: 0 turns repairs off. repair_keeps_diversity: a repaired question must have passed the first diversity check.
+
+    parts: written parts of the stages that ask services most, what a run that is taken up again needn't ask twice.
+    """
 
     chunking: chunking.Chunking = chunking.Chunking()
     budget: budget.Budget = field(default_factory=budget.Budget)
@@ -30,6 +33,7 @@ class Settings:
     repair_attempts: int = 1
     repair_keeps_diversity: bool = True
     concurrency: int = 3
+    parts: int = 1
     whitespace: bool = True
     encoding: bool = True
     formatting: bool = True
@@ -45,12 +49,22 @@ class Result:
     chunk_stats: DataFrame
     document_stats: DataFrame
     failures: DataFrame
+    analyses: DataFrame
 
 
 def _prompt(prompts: dict[str, P.Prompt], name: str, **values):
     return T.fill_template(P.get(prompts, name).template, **values)
 
 
+def _answered(requests: DataFrame, store: StageStore, stage: str, ask, parts: int) -> DataFrame:
+    """The replies of a stage, made in so many written parts: a run that breaks off asks again for the part it was in only."""
+    if parts < 2:
+        return store.made(stage, lambda: ask(requests))
+    for i in range(parts):
+        store.made(f"{stage}/part={i}", lambda i=i: ask(requests.where(F.pmod(F.xxhash64(*requests.columns[:1]), F.lit(parts)) == i)))
+    return store.spark.read.parquet(store.path(stage)).drop("part")
+
+
 def make_chunks(docs: DataFrame, s: Settings, key: str = "doc_id") -> DataFrame:
     """Documents (key, text, and perhaps path, title, sections) to chunks with ids and context."""
     body = T.preprocess("text", s.whitespace, s.encoding, s.formatting)
@@ -84,8 +98,8 @@ def judge(checked: DataFrame, sources: DataFrame, store: StageStore, tag: str, p
     faith = asked.join(sources, "chunk_id").select("question_id", _prompt(prompts, "faithfulness", question="question", answer="answer", chunk="context").alias("prompt"))
     alone = asked.select("question_id", _prompt(prompts, "standalone", question="question", answer="answer").alias("prompt"))
     # read as they are written, so that each reply is parsed once
-    a = store.made(f"{tag}-faithfulness", lambda: _ask(faith, "faithfulness", prompts, factory, s).select("question_id", "reply", "error", parse.judge("reply", judging.FAITHFULNESS).alias("j")))
-    b = store.made(f"{tag}-standalone", lambda: _ask(alone, "standalone", prompts, factory, s).select("question_id", "reply", "error", parse.judge("reply", judging.STANDALONE).alias("j")))
+    a = _answered(faith, store, f"{tag}-faithfulness", lambda r: _ask(r, "faithfulness", prompts, factory, s).select("question_id", "reply", "error", parse.judge("reply", judging.FAITHFULNESS).alias("j")), s.parts)
+    b = _answered(alone, store, f"{tag}-standalone", lambda r: _ask(r, "standalone", prompts, factory, s).select("question_id", "reply", "error", parse.judge("reply", judging.STANDALONE).alias("j")), s.parts)
     ja, jb = (x.where("j is not null").select("question_id", "j.*") for x in (a, b))
     return judging.verdicts(checked.join(judging.merge_judges(ja, jb), "question_id", "left"), dict(s.thresholds))
 
@@ -97,14 +111,14 @@ def run(docs: DataFrame, factory: completion.Factory, settings: Settings = Setti
     store = store or StageStore(spark)
     chunks = store.made("chunks", lambda: make_chunks(docs, s, key))
 
-    replies = store.made("analyses", lambda: _ask(chunks.select("chunk_id", _prompt(prompts, "analysis", chunk="content").alias("prompt")), "analysis", prompts, factory, s).drop("prompt"))
+    replies = _answered(chunks.select("chunk_id", _prompt(prompts, "analysis", chunk="content").alias("prompt")), store, "analyses", lambda r: _ask(r, "analysis", prompts, factory, s).drop("prompt"), s.parts)
     analyses = replies.select("chunk_id", "error", parse.analysis("reply").alias("a")).select("chunk_id", "error", "a.*")
     good = analyses.where("status = 'ok'")
     counts = budget.allocate(good.withColumnRenamed("information_density", "density"), s.budget, "chunk_id").groupBy("chunk_id").agg(*[F.coalesce(F.max(F.when(F.col("category") == c, F.col("n"))), F.lit(0)).alias(c) for c in s.budget.categories])
     wanted = counts.where(" + ".join(f"`{c}`" for c in s.budget.categories) + " > 0").join(good.select("chunk_id", F.array_join("key_concepts", ", ").alias("concepts")), "chunk_id").join(chunks.select("chunk_id", key, "content"), "chunk_id")
     others = {c: c for c in ("factual", "inferential", "conceptual") if c in s.budget.categories}
-    asks = wanted.select(key, "chunk_id", _prompt(prompts, "generation", chunk="content", concepts=F.coalesce(F.nullif("concepts", F.lit("")), F.lit("N/A")), **{c: F.col(c) if c in others else F.lit(0) for c in ("factual", "inferential", "conceptual")}).alias("prompt"))
-    made = store.made("questions", lambda: _ask(asks, "generation", prompts, factory, s).drop("prompt"))
+    asks = wanted.select("chunk_id", key, _prompt(prompts, "generation", chunk="content", concepts=F.coalesce(F.nullif("concepts", F.lit("")), F.lit("N/A")), **{c: F.col(c) if c in others else F.lit(0) for c in ("factual", "inferential", "conceptual")}).alias("prompt"))
+    made = _answered(asks, store, "questions", lambda r: _ask(r, "generation", prompts, factory, s).drop("prompt"), s.parts)
     listed = made.withColumn("items", parse.questions("reply"))
     questions = T.each(listed, [key, "chunk_id"], "items", "q", "generation_index").select(key, "chunk_id", "generation_index", "q.*")
     questions = questions.withColumn("question_id", F.sha2(F.concat_ws("|", "chunk_id", F.col("generation_index").cast("string")), 256))
@@ -150,4 +164,4 @@ def run(docs: DataFrame, factory: completion.Factory, settings: Settings = Setti
     bad = analyses.where("status <> 'ok'").select("chunk_id", F.lit("analysis").alias("stage"), F.coalesce("error", "notes").alias("error"))
     bad = bad.unionByName(asked.where("generation_error is not null").select("chunk_id", F.lit("generation").alias("stage"), F.col("generation_error").alias("error")))
     failures = bad.join(chunks.select("chunk_id", key, "sequence", T.preview("content").alias("preview")), "chunk_id")
-    return Result(chunks, outcomes.where("outcome <> 'dropped'").join(sources, "chunk_id"), outcomes, chunk_stats, document_stats, failures)
+    return Result(chunks, outcomes.where("outcome <> 'dropped'").join(sources, "chunk_id"), outcomes, chunk_stats, document_stats, failures, analyses)

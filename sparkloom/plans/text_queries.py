@@ -172,7 +172,9 @@ alive as (select h.doc_id, h.pos, h.content from heads h where not exists (selec
 select doc_id, string_agg(content, ' > ' order by pos) as path from alive group by doc_id
 """)
 def heading_path(spark, sf_dir):
-    return headed_sections(spark, sf_dir).select("doc_id", F.array_join(sections.heading_path(F.col("sections")), " > ").alias("path")).where("path <> ''")
+    # as a generator's rows: a filter on the path would work the sections out once more
+    path = T.let(F.array_join(sections.heading_path(F.col("sections")), " > "), lambda p: F.when(p != "", F.array(p)))
+    return T.each(headed_sections(spark, sf_dir), ["doc_id"], path, "path").select("doc_id", "path")
 
 
 @query(r"""
@@ -281,6 +283,12 @@ def page_headers_footers(spark, sf_dir):
     return P.repeated_lines(blocks(spark, sf_dir))
 
 
+@query(None)
+def page_documents(spark, sf_dir):
+    """Blocks to documents through all page passes: heads and feet dropped, columns in order, pages joined; sections beside."""
+    return P.documents(blocks(spark, sf_dir))
+
+
 @query("""
 with p as (select page_id, length(html) % 120 as text_len, page_id % 2 as images, (600 * 800)::double as area from pages)
 select page_id, images > 0 and (text_len < 50 or text_len / area < 0.0005) as needs_ocr from p

@@ -6,7 +6,7 @@ import logging
 import os
 import sys
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +16,14 @@ from sparkloom import config as C
 from sparkloom.errors import ConfigurationError, DocumentError
 from sparkloom.operators import completion, routing
 from sparkloom.plans import prompts, qa
+from sparkloom.progress import Progress
 from sparkloom.sources import files, sinks
-from sparkloom.sources.stages import StageStore, config_hash
+from sparkloom.sources.stages import StageStore, config_hash, documents_hash
 
 FOLDERS = ("config", "config/prompts", "input", "output", "checkpoints", "logs", "temp")
 MARK = "config/loom.yaml"
+#: Written parts of a named run's stages that ask services.
+PARTS = 4
 
 
 def logger(level: str = "INFO", file: str | None = None) -> logging.Logger:
@@ -72,7 +75,8 @@ class Timers:
 class Project:
     """process() reads and runs documents; save() writes their questions. Relative paths: as they are, else in input/ or output/."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, config: C.Config | None = None, factory: completion.Factory | None = None):
+    def __init__(self, spark: SparkSession, root: str | None = None, config: C.Config | None = None, factory: completion.Factory | None = None, progress: Progress | None = None):
+        self.progress = progress or Progress()
         found = Path(root).resolve() if root else find()
         self.spark, self.root = spark, found
         self.config = config or (C.load(str(found / MARK)) if found and (found / MARK).is_file() else C.load())
@@ -87,6 +91,11 @@ class Project:
         share = self.spark.sparkContext.defaultParallelism
         return lambda: Routed({p: completion.Http(s, share) for p, s in by_prompt.items()})
 
+    def model(self) -> str:
+        """The name of the model that writes questions; 'offline' without a service."""
+        services = {n: s for n, s in self.config.services().items() if s.enabled}
+        return routing.service_for("generation", services).model if services else "offline"
+
     def where(self, path: str) -> str:
         if "://" in path or os.path.isabs(path) or Path(path).exists():
             return path
@@ -98,17 +107,25 @@ class Project:
     def process(self, path: str, run: str | None = None) -> qa.Result:
         """All documents of a file, folder or pattern at once; rejects are in `rejects`."""
         docs, self.rejects = self.timers.time("loading", lambda: files.read(self.spark, self.where(path)))
+        self.progress.reached("documents")
         if docs.isEmpty():
             first = self.rejects.first()
             raise DocumentError(first["error"] if first else "the document is empty", {"path": path})
         return self.process_documents(docs, run)
 
     def process_documents(self, docs: DataFrame, run: str | None = None) -> qa.Result:
-        """Checkpoints are on with a run's name: the same name, configuration and folder go on where they ended."""
+        """Checkpoints are on with a run's name: the same name, configuration, documents and folder go on where they ended."""
         keep = self.config.processing
-        name = f"{run}-{config_hash(self.config)}" if run and keep.enable_checkpoints else None
-        store = StageStore(self.spark, name)
-        result = self.timers.time("questions", lambda: qa.run(docs, self.factory, self.config.settings(), store, self.prompts))
+        # the documents are a part of the name: a changed, added or removed one makes it another run
+        name = f"{run}-{config_hash(self.config)}-{documents_hash(docs)}" if run and keep.enable_checkpoints else None
+
+        def watch(stage: str, seconds: float) -> None:
+            self.timers.seconds[f"questions/{stage}"] = round(seconds, 2)
+            self.progress.reached(stage)
+
+        store = StageStore(self.spark, name, watch=watch)
+        settings = replace(self.config.settings(), parts=PARTS) if name else self.config.settings()
+        result = self.timers.time("questions", lambda: qa.run(docs, self.factory, settings, store, self.prompts))
         return result
 
     def process_input(self, format: str | None = None) -> dict:
@@ -131,7 +148,11 @@ class Project:
         q = result.questions
         out = q.select(F.col("question_id").alias("id"), "question", "answer", "chunk_id", "context", "category")
         if self.config.output.include_metadata:
-            meta = F.struct("generation_index", F.col("outcome").alias("repair"), F.struct("is_valid", F.round("diversity", 4).alias("diversity"), *[c for c in ("factual_accuracy", "answer_completeness", "standalone")]).alias("validation"))
+            # chunks and analyses are as many as there are texts asked about; both meet the questions by chunk_id
+            chunk = result.chunks.select("chunk_id", F.struct("title", F.array_join("section_path", " > ").alias("section_path"), *[F.col(f"text_stats.{c}").alias(c) for c in ("char_count", "word_count", "sentence_count")]).alias("source"))
+            told = result.analyses.select("chunk_id", F.struct("information_density", "topic_coherence", "complexity", "key_concepts").alias("analysis"))
+            q = q.join(chunk, "chunk_id", "left").join(told, "chunk_id", "left").withColumn("model", F.lit(self.model()))
+            meta = F.struct("generation_index", "model", "source", "analysis", F.col("outcome").alias("repair"), F.struct("is_valid", F.round("diversity", 4).alias("diversity"), *[c for c in ("factual_accuracy", "answer_completeness", "standalone")]).alias("validation"))
             out = q.select(F.col("question_id").alias("id"), "question", "answer", "chunk_id", "context", "category", meta.alias("metadata"))
         return out
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators.sections import SECTIONS
-from sparkloom.sources import docx, markdown, pdf
+from sparkloom.sources import docx, markdown, pages, pdf
 
 TEXT = ("txt", "text", "log", "yaml", "yml", "ini", "cfg", "conf", "json", "csv", "tsv", "")
 MARKDOWN = ("md", "markdown")
@@ -22,13 +22,23 @@ def extension(path: Column | str) -> Column:
     return F.lower(F.regexp_extract(T.basename(path), r"\.([^.]+)\z", 1))
 
 
-def doc_type(path: Column | str, content: Column | str) -> Column:
-    """By extension, the particular kinds first; else by the first bytes; else text if they are valid UTF-8; else unknown."""
+#: Kinds by media type.
+MIME = {"application/pdf": "pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx", "text/markdown": "markdown", "text/x-markdown": "markdown", "text/plain": "text", "text/csv": "text", "application/json": "text"}
+
+
+def doc_type(path: Column | str, content: Column | str, mime: Column | str | None = None) -> Column:
+    """By extension, the particular kinds first; else by media type, if there is a column of it; else by the first bytes; else text if they are valid UTF-8; else unknown."""
     ext, head = extension(path), F.substring(T._col(content), 1, 1024)
     out = F.when(ext.isin(*MARKDOWN), "markdown").when(ext == "docx", "docx").when(ext == "pdf", "pdf")
     for kind, own in EXTENSIONS.items():
         out = out.when(ext.isin(*own), kind)
-    out = out.when(ext.isin(*TEXT), "text").when(F.hex(F.substring(head, 1, 5)) == "255044462D", "pdf").when(F.hex(F.substring(head, 1, 4)) == "504B0304", "docx")
+    out = out.when(ext.isin(*[x for x in TEXT if x]), "text")
+    if mime is not None:
+        kind = F.lower(T.strip(F.regexp_extract(T._col(mime), r"^([^;]*)", 1)))
+        for name, own in MIME.items():
+            out = out.when(kind == name, own)
+    out = out.when(ext == "", "text") if mime is None else out
+    out = out.when(F.hex(F.substring(head, 1, 5)) == "255044462D", "pdf").when(F.hex(F.substring(head, 1, 4)) == "504B0304", "docx")
     # the last three bytes may be a cut character
     whole = F.is_valid_utf8(head) | F.is_valid_utf8(F.substring(head, 1, 1023)) | F.is_valid_utf8(F.substring(head, 1, 1022)) | F.is_valid_utf8(F.substring(head, 1, 1021))
     return out.when((F.octet_length(head) > 0) & whole & ~F.hex(head).rlike("^(?:..)*?00"), "text").otherwise("unknown")
@@ -60,10 +70,20 @@ def read_markdown(files: DataFrame) -> DataFrame:
     known = ("title", "author", "date", "language")
     own = {k: F.col("__meta")[k] for k in known}
     own["title"] = F.coalesce(own["title"], stem("path"))
-    return _row(df, "markdown", text=F.col("__body"), sections=markdown.sections("__body"), custom=F.map_filter("__meta", lambda k, v: ~k.isin(*known)), error=F.when(~ok, "the file isn't utf-8"), **own)
+    return _row(df, "markdown", text=F.col("__body"), sections=markdown.structure("__body"), custom=F.map_filter("__meta", lambda k, v: ~k.isin(*known)), error=F.when(~ok, "the file isn't utf-8"), **own)
+
+
+def read_pdf(files: DataFrame) -> DataFrame:
+    """Files parsed once into a written table; their blocks go through the page operators."""
+    from sparkloom.session import materialize
+
+    parsed = materialize(files.select("path", pdf.parse("content").alias("d")), "pdf")
+    body = pages.documents(pdf.blocks(parsed)).withColumnRenamed("doc_id", "path")
+    meta = {k: F.col(f"d.{k}") for k in ("author", "date", "custom", "error")}
+    return _row(parsed.join(body, "path", "left"), "pdf", title=F.coalesce("d.title", stem("path")), text=F.col("text"), sections=F.col("sections"), **meta)
 
 
-READERS: dict[str, Reader] = {"text": read_text, "markdown": read_markdown, "docx": lambda df: _row(df.withColumn("d", docx.parse("path", "content")), "docx", **docx.columns("d")), "pdf": lambda df: _row(df.withColumn("d", pdf.parse("content")), "pdf", **pdf.columns("d"))}
+READERS: dict[str, Reader] = {"text": read_text, "markdown": read_markdown, "docx": lambda df: _row(df.withColumn("d", docx.parse("path", "content")), "docx", **docx.columns("d")), "pdf": read_pdf}
 EXTENSIONS: dict[str, tuple[str, ...]] = {}
 
 

@@ -144,3 +144,24 @@ def join_pages(pages: Column | str) -> Column:
 
     start = F.struct(F.lit(None).cast("string").alias("held"), empty.alias("out"))
     return F.aggregate(T._col(pages), start, step, lambda s: F.when(s["held"].isNull(), s["out"]).otherwise(F.array_append(s["out"], s["held"])))
+
+
+def documents(blocks: DataFrame, ratio: float = 1.2, number: bool = True, threshold: float = 0.75) -> DataFrame:
+    """(doc_id, text, sections) of block tables, by all page passes in their order.
+
+    Heads and feet that repeat are dropped; recognised text (column ocr, if there is one) is mended; each page's blocks go
+    column by column; sentences that go on over a page's end are put together in the text, while sections keep
+    the blocks as they are. Without a kept block a document has no row.
+    """
+    kept = drop_repeated(blocks, repeated_lines(blocks, threshold), threshold)
+    if "ocr" in blocks.columns:
+        kept = kept.withColumn("text", F.when(F.coalesce("ocr", F.lit(False)), clean_ocr("text")).otherwise(F.col("text"))).where("text <> ''")
+    ordered = column_order(kept, ratio, number)
+    section = F.struct("content", "section_type", F.col("level").cast("int").alias("level"))
+    listed = ordered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "pos", "text", section.alias("section")))).alias("b"))
+
+    def texts(b: Column) -> Column:
+        numbers = F.array_distinct(F.transform(b, lambda x: x["page"]))
+        return F.transform(numbers, lambda p: F.array_join(F.transform(F.filter(b, lambda x: x["page"] == p), lambda x: x["text"]), "\n"))
+
+    return listed.select("doc_id", F.array_join(join_pages(texts(F.col("b"))), "\n\n").alias("text"), F.transform("b", lambda x: x["section"]).alias("sections"))

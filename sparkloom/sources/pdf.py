@@ -7,10 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators.sections import SECTIONS
-from sparkloom.sources import pages as P
 
-_BLOCK = "struct<page:int,block:int,x0:double,y0:double,x1:double,y1:double,size:double,bold:boolean,text:string,page_width:double,page_height:double,images:int>"
+_BLOCK = "struct<page:int,block:int,x0:double,y0:double,x1:double,y1:double,size:double,bold:boolean,text:string,page_width:double,page_height:double,images:int,ocr:boolean>"
 _PARSED = f"struct<title:string,author:string,date:string,blocks:array<{_BLOCK}>,custom:map<string,string>,error:string>"
 
 
@@ -19,6 +17,18 @@ def pdf_date(value: str | None) -> str | None:
     return f"{value[2:6]}-{value[6:8]}-{value[8:10]}" if value and value.startswith("D:") and len(value) >= 10 else value or None
 
 
+def recognised(page, n: int, images: int, own: list[dict]) -> list[dict]:
+    """The page's blocks, or its picture's paragraphs where it has images and hardly any text; any failure keeps the blocks."""
+    length, width, height = sum(len(b["text"]) for b in own), page.rect.width, page.rect.height
+    if not images or not (length < 50 or length / max(width * height, 1) < 0.0005):
+        return own
+    try:
+        found = ocr_page(page.get_pixmap(dpi=300).tobytes("png"))
+    except Exception:  # no Tesseract, or it gave up: what the page has as text
+        return own
+    return [{"page": n, "block": i, "x0": 0.0, "y0": float(i), "x1": width, "y1": float(i + 1), "size": 10.0, "bold": False, "text": t, "page_width": width, "page_height": height, "images": images, "ocr": True} for i, t in enumerate(found)] or own
+
+
 def read(content: bytes) -> dict:
     import fitz
 
@@ -27,12 +37,13 @@ def read(content: bytes) -> dict:
             return {"error": "the file is encrypted"}
         meta, blocks = pdf.metadata or {}, []
         for n, page in enumerate(pdf):
-            images = len(page.get_images())
+            images, own = len(page.get_images()), []
             for b, x in enumerate(page.get_text("dict")["blocks"]):
                 spans = [s for line in x.get("lines", []) for s in line["spans"]]
                 text = " ".join(s["text"] for s in spans).strip()
                 if text:
-                    blocks.append({"page": n, "block": b, **dict(zip(("x0", "y0", "x1", "y1"), map(float, x["bbox"]))), "size": max(s["size"] for s in spans), "bold": any("bold" in s["font"].lower() for s in spans), "text": text, "page_width": page.rect.width, "page_height": page.rect.height, "images": images})
+                    own.append({"page": n, "block": b, **dict(zip(("x0", "y0", "x1", "y1"), map(float, x["bbox"]))), "size": max(s["size"] for s in spans), "bold": any("bold" in s["font"].lower() for s in spans), "text": text, "page_width": page.rect.width, "page_height": page.rect.height, "images": images, "ocr": False})
+            blocks += recognised(page, n, images, own)
         custom = {"page_count": str(len(pdf)), "producer": meta.get("producer"), "creator": meta.get("creator"), "keywords": meta.get("keywords")}
     return {"title": meta.get("title") or None, "author": meta.get("author") or None, "date": pdf_date(meta.get("creationDate")), "blocks": blocks, "custom": {k: v for k, v in custom.items() if v}, "error": None}
 
@@ -55,23 +66,9 @@ def parse(content: Column | str) -> Column:
     return parsed(content)
 
 
-def columns(d: str) -> dict[str, Column]:
-    """A document's columns from its parsed struct: blocks by page and height, sentences over page ends put together."""
-    ordered = F.array_sort(F.transform(F.col(f"{d}.blocks"), lambda b: F.struct(b["page"], b["y0"], b["block"], b["text"], b["size"], b["bold"])))
-    pages = F.transform(F.array_sort(F.array_distinct(F.transform(ordered, lambda b: b["page"]))), lambda p: F.array_join(F.transform(F.filter(ordered, lambda b: b["page"] == p), lambda b: b["text"]), "\n"))
-    out = {k: F.col(f"{d}.{k}") for k in ("title", "author", "date", "custom", "error")}
-    return out | {"text": F.array_join(P.join_pages(pages), "\n\n"), "sections": F.lit(None).cast(SECTIONS)}
-
-
-def blocks(files: DataFrame) -> DataFrame:
-    """(path, content) to the block table that the page operators take, with the path as doc_id."""
-    return T.each(files.select(F.col("path").alias("doc_id"), parse("content").alias("d")), ["doc_id"], "d.blocks").select("doc_id", "x.*")
-
-
-def sections_of(ordered: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Ordered blocks (as reading_order or column_order gives them) to (key, sections)."""
-    s = F.struct("page", "pos", F.struct("content", "section_type", F.col("level").cast("int").alias("level")).alias("s"))
-    return ordered.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(s)), lambda x: x["s"]).alias("sections"))
+def blocks(parsed: DataFrame) -> DataFrame:
+    """(path, d) of parsed files to the block table that the page operators take, with the path as doc_id."""
+    return T.each(parsed.select(F.col("path").alias("doc_id"), "d"), ["doc_id"], F.coalesce("d.blocks", F.expr(f"cast(array() as array<{_BLOCK}>)"))).select("doc_id", "x.*")
 
 
 def ocr_page(image: bytes, timeout: float = 30) -> list[str]:

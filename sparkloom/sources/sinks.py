@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,20 +68,33 @@ def write_json(questions: DataFrame, path: str, layout: str = "default", key: st
     records = layouts.apply(questions, layout)
     rows = records.select(F.to_json(F.struct(*records.columns)).alias("value")).toLocalIterator()
     head = json.dumps(document or {}, indent=indent, ensure_ascii=ensure_ascii)
-    parts = [json.dumps(json.loads(r["value"]), indent=indent, ensure_ascii=ensure_ascii) for r in rows]
     tail = f', "statistics": {json.dumps(statistics, indent=indent)}' if statistics else ""
-    _write_text(questions, path, f'{{"document": {head}, "questions": [{", ".join(parts)}]{tail}}}', mode)
 
+    def pieces() -> Iterator[str]:
+        yield f'{{"document": {head}, "questions": ['
+        for i, r in enumerate(rows):
+            yield (", " if i else "") + json.dumps(json.loads(r["value"]), indent=indent, ensure_ascii=ensure_ascii)
+        yield f"]{tail}}}"
 
-def _write_text(df: DataFrame, path: str, text: str, mode: str = "overwrite") -> None:
-    """One file through the cluster's file system, put in its place by a rename."""
+    _write_text(questions, path, pieces(), mode)
+
+
+def _write_text(df: DataFrame, path: str, text: str | Iterable[str], mode: str = "overwrite") -> None:
+    """One file, as its pieces come, through the cluster's file system, put in its place by a rename."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     target, temp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
     fs = target.getFileSystem(conf)
     if fs.exists(target) and mode != "overwrite":
         raise OutputError(f"{path} exists")
     out = fs.create(temp, True)
-    out.write(bytearray(text.encode()))
+    held, size = [], 0
+    for piece in [text] if isinstance(text, str) else text:
+        held.append(piece)
+        size += len(piece)
+        if size > 1 << 20:
+            out.write(bytearray("".join(held).encode()))
+            held, size = [], 0
+    out.write(bytearray("".join(held).encode()))
     out.close()
     fs.delete(target, False)
     if not fs.rename(temp, target):

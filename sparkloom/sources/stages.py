@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, is_dataclass
@@ -33,8 +34,9 @@ class StageStore:
     Without a run's name it is a new run each time. folder: by default in the shared work folder.
     """
 
-    def __init__(self, spark: SparkSession, run: str | None = None, folder: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, run: str | None = None, folder: str | None = None, watch: Callable[[str, float], None] | None = None):
+        """watch(stage, seconds) is told of each stage that was made."""
+        self.spark, self.watch = spark, watch
         self.folder = (folder or f"{work_folder(spark)}/sparkloom/runs").rstrip("/")
         self.run = run or uuid.uuid4().hex
         self.made_now: list[str] = []
@@ -53,8 +55,11 @@ class StageStore:
     def made(self, stage: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The stage's table, made now if it isn't there whole. A half-written one is written over."""
         if not self.exists(stage):
+            began = time.monotonic()
             make().write.mode("overwrite").parquet(self.path(stage))
             self.made_now.append(stage)
+            if self.watch:
+                self.watch(stage, time.monotonic() - began)
         return self.spark.read.parquet(self.path(stage))
 
     def prune(self, keep: int = 3) -> list[str]:
@@ -68,6 +73,13 @@ class StageStore:
         return [r.getName() for _, r in runs[keep:]]
 
 
+def documents_hash(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "path", "title", "text", "sections")) -> str:
+    """16 hex digits of a set of documents, whatever the order of rows: any change to one gives another."""
+    row = F.to_json(F.struct(*[c for c in columns if c in docs.columns]))
+    n, one, two = docs.agg(F.count("*"), F.sum(F.xxhash64(row).cast("decimal(38,0)")), F.sum(F.xxhash64(row, F.lit(1)).cast("decimal(38,0)"))).first()
+    return hashlib.sha256(f"{n}/{one}/{two}".encode()).hexdigest()[:16]
+
+
 def pending(docs: DataFrame, done: DataFrame, key: str = "doc_hash") -> DataFrame:
     """Documents that aren't among the done ones."""
     return docs.join(done.select(key).distinct(), key, "left_anti")

@@ -33,7 +33,7 @@ def test_entry_has_rows(spark):
 
 
 #: Queries that are folds or fuzzy matching; every other one stays in the JVM.
-PYTHON = {"chunk_fixed", "chunk_semantic", "page_headers_footers", "diversity_fuzzy", "qa_outcomes", "qa_document_stats"}
+PYTHON = {"chunk_fixed", "chunk_semantic", "page_headers_footers", "page_documents", "diversity_fuzzy", "qa_outcomes", "qa_document_stats"}
 
 
 @pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n not in PYTHON])
