@@ -117,7 +117,7 @@ def _sketches(k: int):
     schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("n", pa.int32()), ("regs", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in textvec.slices(batches, "text"):
+        for b in textvec.slices(batches, "text", 1 << 20):
             w = textvec.words(*textvec.raw(pc.utf8_lower(b.column("text").cast(pa.large_string()))))
             keep = np.flatnonzero(w.per_doc)
             if not len(keep):
@@ -241,7 +241,7 @@ def _proposals(threshold: float):
 def _sets(texts: pa.ChunkedArray, k: int) -> list[np.ndarray]:
     """Each text's different shingles, ascending."""
     sets: list[np.ndarray] = []
-    for b in textvec.slices(iter(pa.table({"text": texts}).to_batches()), "text"):
+    for b in textvec.slices(iter(pa.table({"text": texts}).to_batches()), "text", 1 << 20):
         w = textvec.words(*textvec.raw(pc.utf8_lower(b.column("text").cast(pa.large_string()))))
         h, doc = textvec.shingles(w, k)
         cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
@@ -372,7 +372,7 @@ def found(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> Da
     nodes = sketches.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("id", "h")).alias("lead"), F.count("*").alias("copies"), F.first("regs").alias("regs"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = nodes.select("node", "regs").mapInArrow(_bands, "band bigint, node bigint")
-    sums = bands.groupBy("band").agg(F.count("*").alias("z"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(node, 1))").alias("x")).where("z > 1")
+    sums = bands.groupBy("band").agg(F.count("*").alias("z"), F.expr("bit_xor(xxhash64(node, 1))").alias("s"), F.expr("bit_xor(xxhash64(node, 2))").alias("x")).where("z > 1")
     # copies meet in many bands; each set of members is looked at once
     chosen = materialize(sums.groupBy("z", "s", "x").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("z") / MEMBERS).cast("int").alias("parts")), "bands")
     members = bands.join(_listed(chosen), "band").join(nodes.select("node", "n", "regs"), "node")

@@ -95,7 +95,7 @@ def span_features(text: str, start: int, end: int, before: str) -> list[int]:
     return _features(text[start:end], text[max(0, start - 4) : start], text[end : end + 4], before)
 
 
-@functools.lru_cache(1 << 16)
+@functools.lru_cache(1 << 13)
 def _features(s: str, ahead: str, behind: str, before: str) -> list[int]:
     """Features of a segment by its text, the four characters on either side, and its hints()."""
     digits = "".join(c for c in s if "0" <= c <= "9")
@@ -485,7 +485,7 @@ class Tagger:
             got = self.known.get((key, a > _BACK)) if key is not None else None
             if got is None:
                 got = [(x - a, y - a, t) for x, y, t in decode(self.weights, text, a, b)]
-                if len(self.known) > 20_000:
+                if len(self.known) > 5_000:
                     self.known.clear()
                 if key is not None:
                     self.known[key, a > _BACK] = got

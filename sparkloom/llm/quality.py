@@ -200,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 def _select(model: Model, keep: float, scores: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in textvec.slices(batches, "text", 1 << 20):
+        for b in textvec.slices(batches, "text", 1 << 18):
             expected, tail = model.score(b.column("text"))
             ok = pa.array(tail >= keep)
             if scores:

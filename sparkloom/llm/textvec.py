@@ -87,7 +87,7 @@ class Words:
     per_doc: np.ndarray  #: words of each text
 
 
-def words(data: np.ndarray, offsets: np.ndarray, solid: bool = False, step: int = 2 << 20) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, solid: bool = False, step: int = 1 << 20) -> Words:
     """Hashed words: runs of letters, digits and non-ASCII characters (solid: of anything but white space)."""
     table, n, docs = (SOLID if solid else _WORD), len(data), len(offsets) - 1
     hashes, starts, ends, at = [], [], [], 0
