@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.session import give_back
+
 _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _POS = _rng.integers(1, 2**63, 1 << 16, dtype=np.uint64) | np.uint64(1)
@@ -44,14 +45,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def give_back() -> None:
-    """Hand memory that a finished task no longer uses back to the system: Python workers live on, and would keep it."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
-    if trim:
-        trim(0)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of batches with at most so many bytes of text each; a longer text comes alone, whole."""
     for batch in batches:

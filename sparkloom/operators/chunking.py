@@ -7,18 +7,22 @@ nothing is shuffled, and the chunks are exploded afterwards. All else are Column
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from sparkloom.errors import ChunkingError
 from sparkloom.functions import text as T
+from sparkloom.session import give_back
 
 HEADINGS = "array<struct<content:string,level:int>>"
-CHUNKS = f"array<struct<content:string,headings:{HEADINGS},overlap_chars:int>>"
 
 
 @dataclass(frozen=True)
@@ -155,17 +159,76 @@ def register_strategy(name: str, fold: Callable[[Iterable[dict], Chunking], list
     STRATEGIES[name] = fold
 
 
-def chunk(docs: DataFrame, settings: Chunking = Chunking(), key: str = "doc_id", sections: str = "sections") -> DataFrame:
-    """(key, sections) to (key, sequence, content, headings, overlap_chars); no section, no chunk."""
+#: Characters of sections that are Python objects at once.
+SLICE = 1 << 20
+
+
+def merge_rows(chunks: list[dict], least: int = 500, most: int = 2500, slack: float = 1.1) -> list[dict]:
+    """merge_small() of one document's chunks, in order."""
+    out, i = [], 0
+    while i < len(chunks):
+        one = chunks[i]
+        two = chunks[i + 1] if i + 1 < len(chunks) else None
+        i += 1
+        if two and len(one["content"]) < least and len(one["content"]) + len(two["content"]) <= int(most * slack):
+            known = {h["content"] for h in one["headings"]}
+            heads = one["headings"] + [h for h in two["headings"] if h["content"] not in known]
+            one = one | {"content": one["content"] + "\n\n" + two["content"], "headings": sorted(heads, key=lambda h: h["level"])}
+            i += 1
+        out.append(one)
+    return out
+
+
+def chunk(docs: DataFrame, settings: Chunking = Chunking(), key: str = "doc_id", sections: str = "sections", merge: bool = False) -> DataFrame:
+    """(key, sections) to (key, sequence, content, headings, overlap_chars); no section, no chunk.
+
+    merge: small chunks take up their successors, as by merge_small(), and nothing is shuffled. Documents become Python
+    objects by slices of SLICE characters, and their chunks leave as rows: a longer document is a slice of its own.
+    """
     if settings.strategy not in STRATEGIES:
         raise ChunkingError(f"no chunking strategy is called {settings.strategy!r}; there are {sorted(STRATEGIES)}")
     fold = STRATEGIES[settings.strategy]
-
-    @F.pandas_udf(CHUNKS)
-    def folded(col: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else fold(x, settings) for x in col])
-
-    return T.each(docs, [key], folded(sections), "c", "sequence").select(key, "sequence", "c.content", "c.headings", "c.overlap_chars")
+    kind = StructType.fromDDL(f"sequence int, content string, headings {HEADINGS}, overlap_chars int")
+    arrow = to_arrow_type(kind.fields[2].dataType)
+
+    def folded(col: pa.ListArray) -> tuple[list[int], list[int], list[dict]]:
+        """The row and the sequence of each chunk, and the chunks."""
+        flat = col.flatten()
+        names = [f.name for f in flat.type]
+        parts = list(zip(*[flat.field(i).to_pylist() for i in range(len(names))], strict=True))
+        rows, sequence, out, at = [], [], [], 0
+        for row, n in enumerate(pc.fill_null(pc.list_value_length(col), 0).to_pylist()):
+            found = fold([dict(zip(names, p, strict=True)) for p in parts[at : at + n]], settings)
+            if merge:
+                found = merge_rows(found, settings.min, settings.max)
+            at += n
+            rows += [row] * len(found)
+            sequence += range(len(found))
+            out += found
+        return rows, sequence, out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, 1):
+                rows, sequence, out = folded(part.column(1))
+                columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(sequence, pa.int32()), pa.array([c["content"] for c in out], pa.string()), pa.array([c["headings"] for c in out], arrow), pa.array([c["overlap_chars"] for c in out], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=[part.schema.names[0], *kind.names])
+        give_back()
+
+    asked = docs.select(key, sections)  # a filter on the sections would work them out once more
+    return asked.mapInArrow(run, StructType([asked.schema[key], *kind.fields]))
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most SLICE bytes of sections each."""
+    lists = batch.column(column)
+    size = pc.fill_null(pc.binary_length(lists.flatten().field("content")), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def fixed_overlap(c: Column | str, n: int) -> Column:

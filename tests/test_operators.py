@@ -486,3 +486,20 @@ def test_ascii_json(spark):
     from sparkloom.sources import sinks
 
     assert one(spark, sinks.ascii_json, '{"a": "é😀x"}') == '{"a": "\\u00e9\\ud83d\\ude00x"}'
+
+
+
+def test_chunks_leave_in_slices_and_merge_as_by_columns(spark):
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("content", pa.string()), ("section_type", pa.string()), ("level", pa.int32())]))
+    one = [{"content": "x" * (chunking.SLICE // 10), "section_type": "paragraph", "level": 0}]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array([one * 4, one * 4, one * 4, None, [], one * 30, one, one], kind)], names=["doc_id", "sections"])
+    assert [p.column(0).to_pylist() for p in chunking._slices(batch, 1)] == [[0, 1], [2, 3, 4], [5], [6, 7]]
+    r = random.Random(5)
+    docs = [(d, [(r.choice("abcé") * r.choice([1, 20, 90, 200, 400]), r.choice(["heading", "paragraph", "paragraph"]), r.randint(1, 3)) for _ in range(r.randint(0, 25))]) for d in range(60)] + [(90, None)]
+    df = spark.createDataFrame(docs, "doc_id int, sections array<struct<content:string,section_type:string,level:int>>")
+    c = chunking.Chunking(target=300, overlap=40, min=150, max=500)
+    plain = chunking.merge_small(chunking.chunk(df, c), c.min, c.max)
+    merged = chunking.chunk(df, c, merge=True)
+    assert merged.count() > 100 and sorted(map(str, merged.collect())) == sorted(map(str, plain.select(merged.columns).collect()))
