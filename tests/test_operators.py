@@ -488,6 +488,26 @@ def test_ascii_json(spark):
     assert one(spark, sinks.ascii_json, '{"a": "é😀x"}') == '{"a": "\\u00e9\\ud83d\\ude00x"}'
 
 
+def test_likeness_is_difflibs(spark):
+    from sparkloom.operators import likeness
+
+    r, ab = random.Random(3), ["ab", "abcde ", "abcdefghijklmnopqrstuvwxyz äöü", "".join(map(chr, range(97, 400))) + "\U0001f600"]
+    for n in range(600):
+        size, chars = r.choice([0, 1, 5, 40, 63, 64, 199, 200, 201, 260]), r.choice(ab)
+        a, b = ("".join(r.choice(chars) for _ in range(r.randint(0, size) if i else size)) for i in (1, 0))
+        if n % 2 and b:
+            i = r.randrange(len(b))
+            a = b[:i] + r.choice(["", "x", "hello"]) + b[i + r.randint(0, 3) :]
+        assert likeness.ratio(likeness.Text(a), likeness.Text(b)) == SequenceMatcher(None, a, b).ratio(), (a, b)
+    for _ in range(20):
+        row = ["".join(r.choice("abc de") for _ in range(r.choice([0, 8, 30, 220]))) for _ in range(12)]
+        kept, scores = [], []
+        for x in row:
+            best = max([SequenceMatcher(None, x, y).ratio() for y in kept], default=0.0)
+            scores.append(best)
+            kept += [x] * (best < 0.7)
+        assert likeness.greatest(row, 0.7) == scores
+
 
 def test_chunks_leave_in_slices_and_merge_as_by_columns(spark):
     import pyarrow as pa
