@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: What str.strip and str.split take for white space.
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: The same, one by one.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _LETTER = r"[\p{L}\p{N}_]"
 _BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -33,7 +35,7 @@ def each(df: DataFrame, keys: list[str], items: Column | str, item: str = "x", p
 
 def strip(c: Column | str) -> Column:
     """Without leading and trailing Unicode white space."""
-    return F.regexp_replace(_col(c), rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def strip_part(c: Column) -> Column:
@@ -43,7 +45,10 @@ def strip_part(c: Column) -> Column:
 
 def lines(c: Column | str) -> Column:
     """Lines by every Unicode line break; a final break makes no empty line."""
-    return F.split(F.regexp_replace(F.replace(_col(c), F.lit("\r\n"), F.lit("\n")), rf"{_BREAK}\z", ""), _BREAK)
+    def cut(t: Column) -> Column:
+        return F.split(F.when(F.right(t, F.lit(1)).rlike(_BREAK), F.left(t, F.char_length(t) - 1)).otherwise(t), _BREAK)
+
+    return let(F.replace(_col(c), F.lit("\r\n"), F.lit("\n")), cut)
 
 
 def tokens(c: Column | str) -> Column:
@@ -54,7 +59,7 @@ def tokens(c: Column | str) -> Column:
 def normalize_whitespace(c: Column | str) -> Column:
     """One space for runs of spaces and tabs, at most one blank line, lines stripped, one final newline; '' stays ''."""
     c = _col(c)
-    tight = F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), "\n{3,}", "\n\n")
+    tight = F.regexp_replace(F.regexp_replace(c, "[ \t]{2,}|\t", " "), "\n{3,}", "\n\n")
     return F.when(c == "", "").otherwise(F.concat(strip(F.array_join(F.transform(lines(tight), strip_part), "\n")), F.lit("\n")))
 
 
@@ -63,10 +68,15 @@ MOJIBAKE = {"\u00c2\u00a0": " ", "\u00e2\u0080\u0099": "'", "\u00e2\u0080\u0098"
 
 
 def fix_encoding(c: Column | str) -> Column:
-    out = _col(c)
-    for bad, good in MOJIBAKE.items():
-        out = F.replace(out, F.lit(bad), F.lit(good))
-    return out
+    def fixed(t: Column) -> Column:
+        out, any_ = t, F.lit(False)
+        for bad, good in MOJIBAKE.items():
+            out = F.replace(out, F.lit(bad), F.lit(good))
+        for first in sorted({bad[0] for bad in MOJIBAKE}):
+            any_ = any_ | t.contains(first)
+        return F.when(any_, out).otherwise(t)
+
+    return let(_col(c), fixed)
 
 
 def standardize_bullets(c: Column | str) -> Column:

@@ -30,7 +30,12 @@ class Budget:
 
 
 def allocate(chunks: DataFrame, budget: Budget = Budget(), key: str = "chunk_id") -> DataFrame:
-    """(key, density, <category> yields) to (key, category, n).
+    """(key, density, <category> yields) to (key, category, n)."""
+    return T.each(with_counts(chunks, budget, "__counts"), [key], "__counts", "x").select(key, "x.category", "x.n")
+
+
+def with_counts(chunks: DataFrame, budget: Budget = Budget(), name: str = "counts") -> DataFrame:
+    """chunks (with density and <category> yields) with an array of (category, n).
 
     A yield is raised to the category's minimum, scaled by density and weight (half to even), scaled down to the cap,
     and what still exceeds the cap is taken from the categories with the least weight, then count, then name, never
@@ -61,4 +66,4 @@ def allocate(chunks: DataFrame, budget: Budget = Budget(), key: str = "chunk_id"
             F.array_append(s["out"], F.struct(r["category"].alias("category"), (r["n"] - F.least(s["left"], r["n"] - r["least"])).alias("n"))).alias("out"),
         ),
     )
-    return T.each(df, [key], taken["out"], "x").select(key, "x.category", "x.n")
+    return df.select(*chunks.columns, taken["out"].alias(name))

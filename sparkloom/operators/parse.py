@@ -18,7 +18,7 @@ def _get(v: Column, path: str, kind: str = "string") -> Column:
 
 def _object(v: Column) -> Column:
     """v, if it is a JSON object, else null."""
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    return T.let(v, lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), x))
 
 
 def parsed_object(c: Column | str) -> Column:

@@ -523,3 +523,9 @@ def test_chunks_leave_in_slices_and_merge_as_by_columns(spark):
     plain = chunking.merge_small(chunking.chunk(df, c), c.min, c.max)
     merged = chunking.chunk(df, c, merge=True)
     assert merged.count() > 100 and sorted(map(str, merged.collect())) == sorted(map(str, plain.select(merged.columns).collect()))
+
+
+
+def test_strip_is_pythons(spark):
+    texts = ["", " a ", "　 x y\x85\x1c", "  ", "a​", "é \n", "\t\x0b\x0c\r q    "]
+    assert many(spark, T.strip, texts) == [x.strip() for x in texts]

@@ -130,3 +130,20 @@ def test_command_line(tmp_path, capsys, monkeypatch):
     assert cli.main(["init-config", "y.yaml"]) == 0 and cli.main(["init-config", "y.yaml"]) == 0
     assert cli.main(["formats"]) == 0 and cli.main(["info"]) == 0 and cli.main(["version"]) == 0
     assert "jsonl" in capsys.readouterr().out
+
+
+def test_no_text_is_shuffled_before_repairs(spark, docs):
+    plans = {}
+
+    class Seen(StageStore):
+        def made(self, stage, make):
+            def seen():
+                df = make()
+                plans[stage] = df._jdf.queryExecution().executedPlan().toString()
+                return df
+
+            return super().made(stage, seen)
+
+    qa.run(docs, completion.Offline, store=Seen(spark))
+    for stage in ("chunks", "analyses", "questions", "checked", "first-faithfulness", "first-standalone", "verdicts"):
+        assert "hashpartitioning" not in plans[stage] and "Join" not in plans[stage], stage
