@@ -147,12 +147,47 @@ STOP_WORDS = tuple("a about above after again against all an and any as at becau
 DIVERSITY_WORDS = tuple("a about an and are as at but by for from he how i in is it of on or she the they to was we were what when where which who whom whose why with you".split())
 
 
+def keyword_counts(c: Column | str) -> Column:
+    """Array of (word, cnt, first): a text's words that aren't stop words, how often each stands in it and where first."""
+    found = F.filter(F.transform(words(c), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: ~x["word"].isin(*STOP_WORDS))
+
+    def runs(s: Column) -> Column:
+        def begin(x: Column, i: Column) -> Column:
+            return F.when((i == 0) | (F.get(s, i - 1)["word"] != x["word"]), F.struct(x["word"].alias("word"), x["pos"].alias("first"), i.alias("at")))
+
+        def count(b: Column) -> Column:
+            return F.transform(b, lambda z, i: F.struct(z["word"].alias("word"), (F.coalesce(F.get(b, i + 1)["at"], F.size(s)) - z["at"]).cast("bigint").alias("cnt"), z["first"].alias("first")))
+
+        return let(F.array_compact(F.transform(s, begin)), count)
+
+    return let(F.sort_array(found), runs)
+
+
+#: Up to so many repeated keys are sent to all tasks.
+FEW = 100_000
+
+
 def keywords(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 10) -> DataFrame:
-    """(key, word, cnt, rank): the k most frequent words that aren't stop words, ties by first occurrence."""
-    found = each(docs, [key], words(text), "word").where(~F.col("word").isin(*STOP_WORDS))
-    counted = found.groupBy(key, "word").agg(F.count("*").alias("cnt"), F.min("pos").alias("first"))
-    ranked = counted.selectExpr(f"`{key}`", "word", "cnt", f"row_number() over (partition by `{key}` order by cnt desc, first) as rank")
-    return ranked.where(f"rank <= {int(k)}")
+    """(key, word, cnt, rank): the k most frequent words that aren't stop words, ties by first occurrence.
+
+    A row's words are counted in the row. Only rows that share their key with others are brought together, with the
+    counts of each; which ones is found by shuffling keys.
+    """
+    shared = docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("__key"))
+    n = shared.limit(FEW + 1).count()
+
+    def top(rows: DataFrame) -> DataFrame:
+        ranked = let(F.sort_array(F.transform(keyword_counts(text), lambda x: F.struct((-x["cnt"]).alias("less"), x["first"].alias("first"), x["word"].alias("word")))), lambda s: F.slice(s, 1, int(k)))
+        return each(rows, [key], ranked, "x").select(key, "x.word", (-F.col("x.less")).alias("cnt"), (F.col("pos") + 1).alias("rank"))
+
+    if not n:
+        return top(docs)
+    shared = F.broadcast(shared) if n <= FEW else shared
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    found = each(docs.join(shared, same, "left_semi"), [key], keyword_counts(text), "x")
+    counted = found.groupBy(key, "x.word").agg(F.sum("x.cnt").alias("cnt"), F.min("x.first").alias("first"))
+    ranked = counted.selectExpr(f"`{key}`", "word", "cnt", f"row_number() over (partition by `{key}` order by cnt desc, first) as rank").where(f"rank <= {int(k)}")
+    return top(docs.join(shared, same, "left_anti")).unionByName(ranked)
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:

@@ -525,6 +525,15 @@ def test_chunks_leave_in_slices_and_merge_as_by_columns(spark):
     assert merged.count() > 100 and sorted(map(str, merged.collect())) == sorted(map(str, plain.select(merged.columns).collect()))
 
 
+def test_keywords_are_counted_in_the_row(spark):
+    docs = spark.createDataFrame([(1, "b a b c_d c_d The"), (2, None), (3, ""), (4, "z y x z")], "doc_id int, text string")
+    got = T.keywords(docs, k=2)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, "b", 2, 1), (1, "c_d", 2, 2), (4, "y", 1, 2), (4, "z", 2, 1)]
+    more = docs.union(spark.createDataFrame([(4, "w x x"), (None, "n m"), (None, "m")], "doc_id int, text string"))
+    assert sorted(map(tuple, T.keywords(more, k=2).where("doc_id = 4 or doc_id is null").collect()), key=str) == [(4, "x", 3, 1), (4, "z", 2, 2), (None, "m", 2, 1), (None, "n", 1, 2)]
+    assert T.keywords(more, k=2).where("doc_id = 1").count() == 2
+
 
 def test_strip_is_pythons(spark):
     texts = ["", " a ", "　 x y\x85\x1c", "  ", "a​", "é \n", "\t\x0b\x0c\r q    "]
