@@ -266,10 +266,13 @@ def preview(c: Column | str, n: int = 500) -> Column:
 def fill_template(template: str, **values: Column | str) -> Column:
     """A template's {name} places filled; {{ and }} are braces. A name without a value is an error."""
     out, rest, at = [], template.replace("{{", "\ue000").replace("}}", "\ue001"), 0
+
+    def said(part: str) -> Column:
+        return F.lit(part.replace("\ue000", "{").replace("\ue001", "}"))
+
     for m in re.finditer(r"\{(\w+)\}", rest):
         if m[1] not in values:
             raise KeyError(f"the template needs a value for {m[1]}")
-        out += [F.lit(rest[at : m.start()]), F.coalesce(_col(values[m[1]]).cast("string"), F.lit("N/A"))]
+        out += [said(rest[at : m.start()]), F.coalesce(_col(values[m[1]]).cast("string"), F.lit("N/A"))]
         at = m.end()
-    out = [*out, F.lit(rest[at:])]
-    return F.translate(F.concat(*out), "\ue000\ue001", "{}")
+    return F.concat(*out, said(rest[at:]))

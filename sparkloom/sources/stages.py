@@ -56,7 +56,7 @@ class StageStore:
         """The stage's table, made now if it isn't there whole. A half-written one is written over."""
         if not self.exists(stage):
             began = time.monotonic()
-            make().write.mode("overwrite").parquet(self.path(stage))
+            make().write.mode("overwrite").option("compression", "zstd").parquet(self.path(stage))
             self.made_now.append(stage)
             if self.watch:
                 self.watch(stage, time.monotonic() - began)

@@ -538,3 +538,7 @@ def test_keywords_are_counted_in_the_row(spark):
 def test_strip_is_pythons(spark):
     texts = ["", " a ", "　 x y\x85\x1c", "  ", "a​", "é \n", "\t\x0b\x0c\r q    "]
     assert many(spark, T.strip, texts) == [x.strip() for x in texts]
+
+
+def test_filled_values_stay_as_they_are(spark):
+    assert many(spark, lambda c: T.fill_template("{{x}} {v}}}", v=c), ["a", "{{b}}", None]) == ["{x} a}", "{x} {{b}}}", "{x} N/A}"]
